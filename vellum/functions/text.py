@@ -35,6 +35,12 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """Bind a computed value once; a column used inside a lambda is otherwise
+    evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text_or_empty(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

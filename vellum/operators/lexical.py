@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vellum import vocab
 from vellum.functions import text as tx
 from vellum.operators.skew import substring_pairs, top_k
+from vellum.session import cut_lineage
 
 SCORE_DIGITS = 9  # float sums differ in the last bits between partitionings
 
@@ -43,11 +44,6 @@ def _all_tokens(df: DataFrame, cols: Sequence[str]) -> Column:
     return F.flatten(F.array(*[tx.index_tokens(_joined(c, df)) for c in cols]))
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a computed value once for use inside lambdas."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _runs(tokens: Column) -> Column:
     """Tokens -> array of (term, tf, dl), by sorting and counting equal neighbours."""
 
@@ -67,7 +63,7 @@ def _runs(tokens: Column) -> Column:
             ),
         )
 
-    runs = _let(F.sort_array(tokens), lambda t: _let(starts(t), lambda s: count(t, s)))
+    runs = tx.let(F.sort_array(tokens), lambda t: tx.let(starts(t), lambda s: count(t, s)))
     return runs
 
 
@@ -188,17 +184,19 @@ def match_any(index: TextIndex, terms: DataFrame, k: int | None = None) -> DataF
     on the other terms, beats that bound do not have to walk the frequent
     postings: only documents within the bound of the k-th score are completed
     with them. All other queries take the full walk, so the result is exact.
+    The weighed terms (a few rows per query) are materialised to see whether any
+    term is that frequent.
     """
     ids = list(index.ids)
     weighed = weigh_terms(index, terms).where("df > 0")
     cols = ["query_id", "term", "qtf", "idf", "avg_len"]
-    if k is None:
-        return (
-            index.postings.join(weighed.select(*cols), "term")
-            .groupBy("query_id", *ids)
-            .agg(_total())
-        )
     weak = F.col("idf") <= vocab.IDF_FLOOR
+    if k is not None:
+        weighed = cut_lineage(weighed)
+        if weighed.where(weak).isEmpty():
+            k = None
+    if k is None:
+        return index.postings.join(weighed.select(*cols), "term").groupBy("query_id", *ids).agg(_total())
     bound = weighed.groupBy("query_id").agg(
         F.sum(F.when(weak, F.col("qtf") * F.col("idf") * (vocab.BM25_K1 + 1)).otherwise(F.lit(0.0))).alias("lift")
     )

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.text import let
+
 RANGE_WIDTH = 1 << 20
 
 
@@ -74,34 +76,20 @@ def substring_pairs(
     the result is exact without comparing every pattern with every text.
     Returns columns ``pattern`` and ``text`` with the original spelling.
     """
-    p = (
-        patterns.select(F.col(pattern).alias("pattern"))
-        .where(F.length("pattern") > 0)
-        .distinct()
-        .withColumn("_p", F.lower("pattern"))
-    )
+    p = patterns.select(F.col(pattern).alias("pattern")).where(F.length("pattern") > 0).distinct()
     t = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
 
-    def pieces(c: Column, width: Column) -> Column:
-        return F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.length(c) - width + 1),
-                lambda i: F.substring(c, i, width),
-            )
-        )
-
-    width = F.least(F.lit(grams), F.length("_p"))
-    p_grams = p.select("pattern", F.explode(pieces(F.col("_p"), width)).alias("gram"))
-    t_low = F.lower("text")
-    t_all = F.flatten(
-        F.array(
-            *[
-                F.when(F.length(t_low) >= n, pieces(t_low, F.lit(n))).otherwise(F.array().cast("array<string>"))
-                for n in range(1, grams + 1)
-            ]
-        )
-    )
-    t_grams = t.select("text", F.explode(t_all).alias("gram")).join(
+    def pieces(low: Column, width: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(low) - width + 1), lambda i: F.substring(low, i, width))
+
+    def all_pieces(low: Column) -> Column:
+        none = F.array().cast("array<string>")
+        widths = [F.when(F.length(low) >= n, pieces(low, F.lit(n))).otherwise(none) for n in range(1, grams + 1)]
+        return F.array_distinct(F.flatten(F.array(*widths)))
+
+    p_pieces = let(F.lower("pattern"), lambda low: pieces(low, F.least(F.lit(grams), F.length(low))))
+    p_grams = p.select("pattern", F.explode(F.array_distinct(p_pieces)).alias("gram"))
+    t_grams = t.select("text", F.explode(let(F.lower("text"), all_pieces)).alias("gram")).join(
         p_grams.select("gram").distinct(), "gram", "left_semi"
     )
     spread = t_grams.groupBy("gram").agg(F.count("*").alias("n_texts"))

@@ -28,7 +28,7 @@ from (select distinct l_orderkey % n as src, l_partkey % n as dst, l_linenumber
 join papers a on a.doc_id = e.src join papers b on b.doc_id = e.dst where e.src <> e.dst""",
     "chunks": """
 select l.doc_id, p.paper_id, l.i as paragraph_index, 'S' || ((l.i - 1) % 3) as section, l.text,
-  p.paper_id || '.ch' || lpad(cast(l.i as varchar), greatest(3, length(cast(l.i as varchar))), '0') as chunk_id
+  p.paper_id || '.ch' || lpad(cast(l.i as varchar), cast(greatest(3, length(cast(l.i as varchar))) as integer), '0') as chunk_id
 from (select doc_id, unnest(lines) as text, generate_subscripts(lines, 1) as i from (
   select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as lines from documents)) l
 join papers p using (doc_id)""",
@@ -105,10 +105,108 @@ select query_id, paper_id, count(*) as m, round(sum(qtf * idf * tf * 2.2 / (tf +
 from qterm join ppost using (term) join pidf using (term) join pdl using (paper_id), pstat group by query_id, paper_id""",
     "pand": """
 select query_id, paper_id, score from phit join (select query_id, count(*) as nt from qterm group by query_id) using (query_id) where m = nt""",
+    "cards": """
+select paper_id, left(one_line, 120) as abstract, case when doc_id % 2 = 1 then 'Idea ' || title else '' end as main_idea,
+  case when doc_id % 3 <> 0 then 'Method ' || venue end as method_summary from papers""",
+    "comparisons": """
+select doc_id, 'C-' || l_orderkey || '-' || l_partkey || '-' || l_suppkey as comparison_id, 'quantity' as metric,
+  l_linestatus as baseline, l_returnflag as proposed, cast(l_discount as varchar) || 'x' as improvement,
+  ['comparable','partially_comparable','not_comparable','bogus'][l_suppkey % 4 + 1] as comparison_validity, paper_id
+from lineitem, ndocs, papers where papers.doc_id = l_orderkey % n and l_linenumber = 1""",
+    "formulas": """
+select doc_id, 'F' || p_partkey as formula_id, p_name as formula_latex, p_type || ' ' || p_brand as semantic_description,
+  ['objective','loss','forward_model','constraint','regularization','metric','physical_model','evaluation','network','update_rule','bogus'][p_size % 11 + 1] as formula_role,
+  [p_brand, 'x' || p_size] as variables, 'E' || (p_partkey % 100) as source_evidence_id, paper_id
+from part, ndocs, papers where papers.doc_id = p_partkey % n""",
+    "formula_queries": """
+select query_id, p_brand as text, case when query_id % 3 = 0 then 'loss' end as role
+from (select p_brand, min(p_partkey) as query_id from part group by 1)""",
+    "metric_queries": """
+select cast(n_nationkey as bigint) as query_id, ['tax','QUANT','about','linenumber','discount','price','zz'][n_nationkey % 7 + 1] as text,
+  case when n_nationkey % 4 = 0 then 2010 end as year_from, case when n_nationkey % 5 = 0 then 2020 end as year_to,
+  case when n_nationkey % 3 = 0 then 'en' end as domain, case when n_nationkey % 6 = 0 then 'm3' end as method,
+  case when n_nationkey % 8 = 0 then 'SRC1' end as venue from nation""",
+    "paper_metrics": "select m.*, paper_id from metrics m join papers using (doc_id)",
+    "pauthors": """
+select paper_id, case when doc_id % 4 = 0 then first_author || ' and others' else first_author end as lead,
+  case when year is null then '' else '(' || first_author || ' et al., ' || year || ')' end as short from papers""",
+    "levels": """
+select paper_id, array_to_string(list_filter([ 'L0', 'L1', case when paper_id in (select paper_id from paper_metrics) then 'L2' end,
+  case when paper_id in (select paper_id from evidence) then 'L3' end, case when paper_id in (select paper_id from chunks) then 'L4' end,
+  case when paper_id in (select paper_id from formulas) then 'FORMULA' end], lambda x: x is not null), ',') as levels from papers""",
+    "evids": """
+select paper_id, array_to_string(list(evidence_id order by evidence_id), ',') as ids from (
+  select paper_id, evidence_id, row_number() over (partition by paper_id order by evidence_id) as r from evidence) where r <= 3 group by 1""",
+    # filter tests and hybrid ranking over (query_id, paper_id, score) in view "cand"
+    "anyq": """
+select query_id, text, year_from, year_to, domain, method, venue, 'q' as kind from queries union all
+select query_id, text, year_from, year_to, domain, method, venue, 'm' from metric_queries""",
+    "checked": """
+select kind, query_id, paper_id, year, asked, met, met = asked as pass from (
+  select kind, q.query_id, p.paper_id, p.year,
+    (q.year_from is not null)::int + (q.year_to is not null)::int + (q.domain is not null)::int + (q.method is not null)::int + (q.venue is not null)::int as asked,
+    coalesce((p.year >= q.year_from)::int, 0) + coalesce((p.year <= q.year_to)::int, 0)
+    + coalesce((starts_with(upper(p.paper_id), upper(q.domain) || '_') or contains(lower(p.domain_tags[1]), lower(q.domain)))::int, 0)
+    + coalesce(contains(lower(p.method_tags[1]), lower(q.method))::int, 0) + coalesce(contains(lower(p.venue), lower(q.venue))::int, 0) as met
+  from anyq q, papers p)""",
+    "pfeat": """
+select paper_id, coalesce(greatest(0.0, least(1.0, (year - 2000) / 30.0)), 0.0) as recency,
+  coalesce(degree, 0) / (select max(degree) from degree) as centrality from papers left join degree using (paper_id)""",
+    "cand": """
+select query_id, paper_id, score from pand join checked c using (query_id, paper_id) where c.pass and c.kind = 'q'
+union all
+select query_id, paper_id, 0.0 from checked where kind = 'q' and asked > 0 and pass and query_id not in (select query_id from pand)
+union all
+select query_id, paper_id, 0.0 from queries q, papers p where query_id not in (select query_id from pand)
+  and q.year_from is null and q.domain is null
+  and (contains(lower(p.title), lower(q.text)) or contains(lower(p.one_line), lower(q.text)) or contains(lower(to_json(p.keywords)::varchar), lower(q.text)))""",
+    "normed": """
+select query_id, paper_id, case when score <= 0 then 0.0 when hi = lo then 1.0 else (score - lo) / (hi - lo) end as bm25_norm
+from (select *, min(case when score > 0 then score end) over (partition by query_id) as lo,
+  max(case when score > 0 then score end) over (partition by query_id) as hi from cand)""",
+    "ranked": """
+select *, row_number() over (partition by query_id order by relevance desc, paper_id) as rank from (
+  select n.query_id, n.paper_id, bm25_norm, round(0.55 * bm25_norm + 0.2 * recency
+    + 0.15 * (case when asked > 0 then met / asked else 0 end) + 0.1 * centrality, 9) as relevance
+  from normed n join checked c on c.query_id = n.query_id and c.paper_id = n.paper_id and kind = 'q' join pfeat f on f.paper_id = n.paper_id)""",
+    "etok": """
+select paper_id, evidence_id, unnest(list_concat(regexp_extract_all(strip_accents(lower(source_text)), '[\\p{L}\\p{N}]+'),
+  regexp_extract_all(strip_accents(lower(coalesce(section, ''))), '[\\p{L}\\p{N}]+'))) as term from evidence""",
+    "edl": "select evidence_id, count(*) as dl from etok group by 1",
+    "estat": "select (select count(*) from evidence) as n, (select count(*) from etok) / (select count(*) from evidence) as avgdl",
+    "epost": "select paper_id, evidence_id, term, count(*) as tf from etok group by all",
+    "eidf": """
+select term, case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end as idf
+from (select term, count(*) as df from epost group by term), estat""",
+    "ehit": """
+select query_id, paper_id, evidence_id, count(*) as m, round(sum(qtf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) as score
+from qterm join epost using (term) join eidf using (term) join edl using (evidence_id), estat group by all""",
+    "eand": "select query_id, paper_id, evidence_id, score from ehit join (select query_id, count(*) as nt from qterm group by 1) using (query_id) where m = nt",
+    "htok": """
+select paper_id, replace(chunk_id, '.ch', '.ev') as evidence_id, unnest(list_concat(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'),
+  regexp_extract_all(lower(section), '[\\p{L}\\p{N}]+'))) as term from chunks""",
+    "hdl": "select evidence_id, count(*) as dl from htok group by 1",
+    "hstat": "select (select count(*) from chunks) as n, (select count(*) from htok) / (select count(*) from chunks) as avgdl",
+    "hpost": "select paper_id, evidence_id, term, count(*) as tf from htok group by all",
+    "hidf": """
+select term, case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end as idf
+from (select term, count(*) as df from hpost group by term), hstat""",
+    "ctok": """
+select claim_no as query_id, list_filter(list_transform(regexp_extract_all(claim, '[A-Za-z0-9]+'), lambda w: lower(w)),
+  lambda w: length(w) > 1 and w not in ('a','an','the','of','for','on','and','in','to','with','based','is','are','was','were','at','by','from','as','that','this','using','via')) as tokens
+from claims""",
+    "cterm": "select query_id, term, count(*) as qtf from (select query_id, unnest(tokens) as term from ctok) group by all",
+    "chit": """
+select query_id, paper_id, evidence_id, round(sum(qtf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) as score
+from cterm join epost using (term) join eidf using (term) join edl using (evidence_id), estat group by all""",
+    "ctop": """
+select h.*, tokens, len(list_filter(tokens, lambda t: contains(lower(e.source_text || ' ' || e.claim), t))) / len(tokens) as coverage
+from (select *, row_number() over (partition by query_id order by score desc, evidence_id) as rank from chit) h
+join ctok using (query_id) join evidence e on e.evidence_id = h.evidence_id where rank <= 10""",
     "degree": "select target_paper as paper_id, count(*) as degree from edges group by all",
 }
 
-_WORD = re.compile(r"[a-z_]+")
+_WORD = re.compile(r"(?<![a-z_.'])[a-z_]+")
 
 
 def with_views(sql: str) -> str:

@@ -1,19 +1,26 @@
-"""Index, search and scoring queries."""
+"""Index, search, scoring and vector queries."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.operators import lexical as lx
+from vellum.operators import vector as vc
 from vellum.suite import views as v
 from vellum.suite.registry import query
 
-PAPER_COLS = ("title", "keywords", "domain_tags", "method_tags", "one_line")
 
 
 def paper_index(spark, sf) -> lx.TextIndex:
-    return lx.build_index(v.papers(spark, sf), ["paper_id"], PAPER_COLS)
+    return v.corpus(spark, sf).paper_index()
+
+
+def _six(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
 
 
 @query("select paper_id, term, tf, dl from ppost join pdl using (paper_id)")
@@ -21,11 +28,32 @@ def index_postings(spark, sf):
     return paper_index(spark, sf).postings.select("paper_id", "term", F.col("tf").cast("bigint"), F.col("dl").cast("bigint"))
 
 
+@query("""select n as n_docs, round(avgdl, 6) as avg_len, (select count(*) from ptok) as n_tokens from pstat""")
+def index_stats(spark, sf):
+    return _six(paper_index(spark, sf).stats, "avg_len")
+
+
+@query("""select doc_id, unnest(t) as term, generate_subscripts(t, 1) as pos, 'text' as col from (
+  select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as t from documents)""")
+def index_positions(spark, sf):
+    return lx.positions(v.table(spark, sf, "documents"), ["doc_id"], ["text"]).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("""select paper_id, count(*) as terms, sum(tf) as tokens from (
+  select paper_id, term, tf from ppost join papers using (paper_id) where doc_id % 10 <> 0
+  union all select paper_id, unnest(['renewed', venue]) as term, 1 from papers where doc_id % 10 = 0) group by 1""")
+def index_sync(spark, sf):
+    p = v.papers(spark, sf)
+    old = paper_index(spark, sf).postings.select("paper_id", "term", "tf")
+    new = p.where("doc_id % 10 = 0").select("paper_id", F.explode(F.array(F.lit("renewed"), F.col("venue"))).alias("term"), F.lit(1).alias("tf"))
+    out = lx.sync_postings(old, new)
+    return out.groupBy("paper_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+
+
 @query("select query_id, paper_id, round(score, 6) as score from pand")
 def search_all_terms(spark, sf):
     idx = paper_index(spark, sf)
-    hits = lx.match_all(idx, lx.query_terms(v.queries(spark, sf)))
-    return hits.withColumn("score", F.round("score", 6))
+    return _six(lx.match_all(idx, lx.query_terms(v.queries(spark, sf))), "score")
 
 
 @query("""select query_id, paper_id, round(score, 6) as score, rank from (
@@ -33,4 +61,178 @@ def search_all_terms(spark, sf):
 def search_any_term(spark, sf):
     idx = paper_index(spark, sf)
     hits = lx.match_any(idx, lx.query_terms(v.queries(spark, sf)), k=10)
-    return lx.best(hits, ["paper_id"], 10).withColumn("score", F.round("score", 6))
+    return _six(lx.best(hits, ["paper_id"], 10), "score")
+
+
+@query("""select query_id, paper_id, round(score, 6) as score from phit""")
+def bm25_scores(spark, sf):
+    return _six(lx.match_any(paper_index(spark, sf), lx.query_terms(v.queries(spark, sf))), "score")
+
+
+_PHRASES = """select item_id as phrase_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')[1:2] as tokens from benchmark"""
+
+
+def _two_word_phrases(spark, sf):
+    b = v.table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(tx.index_tokens(F.col("text")), 1, 2), " ").alias("text"))
+
+
+def _doc_index(spark, sf):
+    d = v.table(spark, sf, "documents")
+    return lx.build_index(d, ["doc_id"], ["text"])
+
+
+@query(f"""with ph as ({_PHRASES}), tk as (
+  select doc_id, unnest(t) as term, generate_subscripts(t, 1) as pos from (
+    select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') as t from documents))
+select phrase_id, a.doc_id, count(*) as tf from ph join tk a on a.term = tokens[1] join tk b on b.doc_id = a.doc_id and b.pos = a.pos + 1 and b.term = tokens[2]
+group by all""")
+def phrase_match(spark, sf):
+    hits = lx.match_phrases(_doc_index(spark, sf), _two_word_phrases(spark, sf))
+    return hits.select("phrase_id", "doc_id", F.col("tf").cast("bigint"))
+
+
+@query("""with ex as (select query_id, regexp_extract_all(strip_accents(lower(one_line)), '[\\p{L}\\p{N}]+')[1:2] as tokens
+    from queries join papers on doc_id = query_id * 3),
+tk as (select paper_id, col, unnest(t) as term, generate_subscripts(t, 1) as pos from (
+    select paper_id, 1 as col, regexp_extract_all(strip_accents(lower(title)), '[\\p{L}\\p{N}]+') as t from papers union all
+    select paper_id, 2, regexp_extract_all(strip_accents(lower(array_to_string(keywords, ' '))), '[\\p{L}\\p{N}]+') from papers union all
+    select paper_id, 5, regexp_extract_all(strip_accents(lower(one_line)), '[\\p{L}\\p{N}]+') from papers)),
+ph as (select distinct tokens from ex where len(tokens) > 0),
+occ as (select tokens, a.paper_id, count(*) as tf from ph join tk a on a.term = tokens[1]
+    join tk b on b.paper_id = a.paper_id and b.col = a.col and b.pos = a.pos + 1 and b.term = tokens[2] where len(tokens) = 2 group by all
+    union all select tokens, paper_id, count(*) from ph join tk on term = tokens[1] where len(tokens) = 1 group by all),
+pdf as (select tokens, count(*) as df from occ group by 1),
+sc as (select tokens, o.paper_id, (case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end)
+    * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) as s from occ o join pdf using (tokens) join pdl using (paper_id), pstat)
+select query_id, paper_id, round(sum(s), 6) as score from (
+  select query_id, paper_id, score as s from pand union all select query_id, paper_id, s from ex join sc using (tokens)) group by all""")
+def search_expanded(spark, sf):
+    """(all words) OR (an expansion phrase taken from a paper's first words)."""
+    p = v.papers(spark, sf).select((F.col("doc_id") / 3).alias("query_id"), "one_line_description")
+    two = F.array_join(F.slice(tx.index_tokens(F.col("one_line_description")), 1, 2), " ")
+    ex = p.where("query_id = floor(query_id)").select(F.col("query_id").cast("bigint"), F.array(two).alias("expansions"))
+    q = v.queries(spark, sf).join(ex, "query_id")
+    rest = v.queries(spark, sf).join(ex, "query_id", "left_anti").withColumn("expansions", F.array().cast("array<string>"))
+    hits = lx.match_expanded(paper_index(spark, sf), q.unionByName(rest))
+    return _six(hits, "score")
+
+
+@query("""with q as (select n_nationkey as query_id, lower(substr(o, 2, 3)) as text from (
+    select n_nationkey, (select min(source) from documents) as o from nation where n_nationkey < 3)
+  union all select 100 + n_nationkey, 'ion' from nation where n_nationkey between 3 and 5
+  union all select 200 + n_nationkey, n_name from nation where n_nationkey >= 6)
+select query_id, paper_id, 0.0 as score from q, papers p
+where contains(lower(p.title), lower(q.text)) or contains(lower(p.one_line), lower(q.text))
+  or contains(lower(to_json(p.keywords)::varchar), lower(q.text))""")
+def substring_search(spark, sf):
+    """Literal containment for queries without index hits: fragments of words and unknown names."""
+    src = v.table(spark, sf, "documents").agg(F.min("source").alias("o")).scalar()
+    k = F.col("n_nationkey")
+    q = v.table(spark, sf, "nation").select(
+        F.when(k < 3, k).when(k < 6, k + 100).otherwise(k + 200).alias("query_id"),
+        F.when(k < 3, F.lower(F.substring(src, 2, 3))).when(k < 6, F.lit("ion")).otherwise(F.col("n_name")).alias("text"),
+    )
+    idx = paper_index(spark, sf)
+    hits = lx.match_all(idx, lx.query_terms(q))
+    return lx.substring_fallback(q, hits, idx.docs, ["paper_id"], ["title", "one_line_description", "keywords"])
+
+
+@query("""select query_id, paper_id, round(case when hi = lo then 1.0 else (score - lo) / (hi - lo) end, 6) as relevance from (
+  select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from phit)""")
+def minmax_scores(spark, sf):
+    hits = lx.match_any(paper_index(spark, sf), lx.query_terms(v.queries(spark, sf)))
+    return _six(lx.minmax(hits, ["query_id"]).select("query_id", "paper_id", "relevance"), "relevance")
+
+
+@query("""with s as (select query_id, paper_id, case when m < 2 then 0.0 else score end as score from phit)
+select query_id, paper_id, round(case when score <= 0 then 0.0 when hi = lo then 1.0 else (score - lo) / (hi - lo) end, 6) as bm25_norm from (
+  select *, min(case when score > 0 then score end) over (partition by query_id) as lo,
+            max(case when score > 0 then score end) over (partition by query_id) as hi from s)""")
+def minmax_positive_scores(spark, sf):
+    """Single-word hits count as zero; the rest is scaled over positive scores only."""
+    q = lx.query_terms(v.queries(spark, sf))
+    idx = paper_index(spark, sf)
+    words = idx.postings.join(q, "term").groupBy("query_id", "paper_id").agg(F.count("*").alias("m"))
+    hits = lx.match_any(idx, q).join(words, ["query_id", "paper_id"])
+    hits = hits.withColumn("score", F.when(F.col("m") < 2, F.lit(0.0)).otherwise(F.col("score")))
+    return _six(lx.minmax_positive(hits, ["query_id"]).select("query_id", "paper_id", "bm25_norm"), "bm25_norm")
+
+
+@query("""with q as (select conv_id * 1000 + turn as query_id, role from conversations), t as (
+  select query_id, term from (select conv_id * 1000 + turn as query_id,
+    list_filter(regexp_extract_all(case when turn % 2 = 0 then '? !' else left(text, 12) end, '[A-Za-z0-9]+'), lambda x: length(x) > 1) as term from conversations))
+select query_id, cast(coalesce(len(term), 0) as bigint) as n_terms from q join t using (query_id)""")
+def empty_queries(spark, sf):
+    """Queries without usable tokens stay in the answer with zero terms."""
+    c = v.table(spark, sf, "conversations")
+    body = F.when(F.col("turn") % 2 == 0, F.lit("? !")).otherwise(F.substring("text", 1, 12))
+    q = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), body.alias("text"))
+    n = lx.query_terms(q, tokens=tx.query_tokens(F.col("text"))).groupBy("query_id").agg(F.sum("qtf").alias("n"))
+    return q.join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_terms"))
+
+
+# ---- vectors --------------------------------------------------------------------
+
+
+@query("""select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def cosine_neighbours(spark, sf):
+    e = v.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(nxt, "vec_id").select(
+        F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.round(vc.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine")
+    )
+
+
+@query("""select * from (select query_id, paper_id, object_id, round(score, 6) as score,
+    row_number() over (partition by query_id order by score desc, paper_id, object_id) as rank from (
+  select q.vec_id as query_id, e.paper_id, e.object_id, round(list_cosine_similarity(q.vector::double[], e.vector::double[]), 9) as score
+  from vectors q join vectors e using (object_type) where q.vec_id % 50 = 0)) where rank <= 10""")
+def vector_search(spark, sf):
+    e = v.vectors(spark, sf)
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "object_type", F.col("vector").alias("query_vector"))
+    return _six(vc.vector_topk(q, e, 10), "score")
+
+
+@query("""select paper_id, 'paper' as object_type, 'L0' as object_id, md5(concat_ws(' ', nullif(title,''), nullif(one_line,''), array_to_string(keywords,' '))) as text_md5 from papers
+union all select paper_id, 'evidence', evidence_id, md5(source_text) from evidence
+union all select paper_id, 'formula', formula_id, md5(formula_latex || ' ' || semantic_description) from formulas
+union all select paper_id, 'chunk', chunk_id, md5(text) from chunks""")
+def embedding_texts(spark, sf):
+    c = v.corpus(spark, sf)
+    out = vc.embedding_inputs(c.papers, c.evidence, c.formulas, c.chunks)
+    return out.select("paper_id", "object_type", "object_id", F.md5("text").alias("text_md5"))
+
+
+WORDS = ("the", "and", "que", "und", "ion", "of", "les", "sch", "en", "for")
+
+
+@query(f"""select doc_id, array_to_string(list_transform([{','.join(repr(w) for w in WORDS)}],
+  lambda w: case when contains(lower(text), w) then '1' else '0' end), '') as bits from documents""")
+def embed_token_presence(spark, sf):
+    d = v.table(spark, sf, "documents")
+    vec = vc.token_presence(F.col("text"), WORDS)
+    return d.select("doc_id", F.array_join(F.transform(vec, lambda x: x.cast("int").cast("string")), "").alias("bits"))
+
+
+def word_presence_model(texts):
+    """A user-style embedder: one row of 0/1 per text."""
+    return np.array([[float(w in t.lower()) for w in WORDS] for t in texts], dtype=np.float32).reshape(len(texts), len(WORDS))
+
+
+@query(f"""select doc_id, array_to_string(list_transform([{','.join(repr(w) for w in WORDS)}],
+  lambda w: case when contains(lower(text), w) then '1' else '0' end), '') as bits from documents""")
+def embed_user_model(spark, sf):
+    d = v.table(spark, sf, "documents").select("doc_id", "text")
+    out = vc.embed(d, word_presence_model)
+    return out.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), "").alias("bits"))
+
+
+@query("""select paper_id, object_type, count(*) as n from (
+  select paper_id, object_type, object_id from vectors where (paper_id, object_type) not in (select paper_id, object_type from vectors where vec_id % 9 = 0)
+  union all select paper_id, object_type, 'new' || vec_id from vectors where vec_id % 9 = 0) group by all""")
+def embedding_replace(spark, sf):
+    e = v.vectors(spark, sf).select("vec_id", "paper_id", "object_type", "object_id", "vector")
+    new = e.where("vec_id % 9 = 0").withColumn("object_id", F.concat(F.lit("new"), F.col("vec_id").cast("string")))
+    return vc.store_embeddings(e, new).groupBy("paper_id", "object_type").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum import vocab
 from vellum.functions import keys as ky
 from vellum.functions import text as tx
+from vellum.operators.layers import Corpus
 from vellum.operators.skew import number_within
 
 
@@ -27,7 +28,7 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
         F.upper("lang").alias("domain"),
         F.when(i % 37 != 0, (F.lit(1995) + i % 31).cast("int")).alias("year"),
         F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
-        F.substring("text", 1, 200).alias("one_line"),
+        F.substring("text", 1, 200).alias("one_line_description"),
         F.col("source").alias("venue"),
         F.array(F.concat(F.lit("M"), (i % 7).cast("string"))).alias("method_tags"),
         F.array(F.col("lang")).alias("domain_tags"),
@@ -35,6 +36,7 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
         F.when(i % 11 != 0, F.concat(F.lit("10.1000/"), i.cast("string"))).alias("doi"),
         F.concat(F.lit("Author"), F.chr(65 + i % 26)).alias("first_author"),
         F.concat(F.lit("K"), i.cast("string")).alias("citation_key"),
+        F.when(i % 3 == 0, F.lit("conference")).otherwise("journal").alias("article_type"),
         F.coalesce(F.when(i % 37 != 0, (F.lit(1995) + i % 31).cast("int")), F.lit(0)).alias("_y"),
         tx.source_hash(F.col("text")).alias("source_hash"),
     )
@@ -45,6 +47,22 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit("@article{b"), i.cast("string"), F.lit(", title = {"), F.col("title"), F.lit("}}")),
         ),
     )
+    empty = F.lit("")
+    author = F.struct(F.col("first_author").alias("family"), F.lit("G").alias("given"))
+    second = F.struct(F.lit("Second").alias("family"), F.lit("H").alias("given"))
+    base = base.withColumn("authors_summary", F.concat(F.col("first_author"), F.lit(" and others"))).withColumn(
+        "bibliographic_record",
+        F.struct(
+            F.when(i % 4 == 0, F.array().cast("array<struct<family:string,given:string>>"))
+            .when(i % 4 == 1, F.array(author)).otherwise(F.array(author, second)).alias("authors"),
+            F.when(i % 6 == 0, empty).otherwise(F.col("title")).alias("title"),
+            F.col("venue").alias("container_title"),
+            F.col("year").alias("year"),
+            F.when(i % 2 == 0, i.cast("string")).otherwise(empty).alias("volume"),
+            empty.alias("issue"), empty.alias("pages"), empty.alias("publisher"),
+            F.coalesce("doi", empty).alias("doi"), empty.alias("url"),
+        ),
+    )
     return (
         number_within(base, ["domain", "_y"], "doc_id", "seq")
         .withColumn("paper_id", ky.paper_id(F.col("domain"), F.col("_y"), F.col("seq")))
@@ -278,3 +296,108 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
         F.element_at(verdicts, (F.col("turn") % 3 + 1).cast("int")).alias("verdict_text"),
         F.col("text").alias("summary"),
     )
+
+
+@lru_cache(maxsize=None)
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    p = papers(spark, sf)
+    i = F.col("doc_id")
+    return p.select(
+        "paper_id",
+        F.substring("one_line_description", 1, 120).alias("abstract"),
+        F.when(i % 2 == 1, F.concat(F.lit("Idea "), F.col("title"))).otherwise("").alias("main_idea"),
+        F.when(i % 3 != 0, F.concat(F.lit("Method "), F.col("venue"))).alias("method_summary"),
+    )
+
+
+@lru_cache(maxsize=None)
+def comparisons(spark: SparkSession, sf: str) -> DataFrame:
+    """First line of every order as a comparison row."""
+    n = n_documents(spark, sf)
+    validity = tx.strings((*vocab.COMPARISON_VALIDITY, "bogus"))
+    c = table(spark, sf, "lineitem").where("l_linenumber = 1").select(
+        (F.col("l_orderkey") % n).alias("doc_id"),
+        F.concat_ws("-", F.lit("C"), "l_orderkey", "l_partkey", "l_suppkey").alias("comparison_id"),
+        F.lit("quantity").alias("metric"),
+        F.col("l_linestatus").alias("baseline"),
+        F.col("l_returnflag").alias("proposed"),
+        F.concat(F.col("l_discount").cast("string"), F.lit("x")).alias("improvement"),
+        F.element_at(validity, (F.col("l_suppkey") % 4 + 1).cast("int")).alias("comparison_validity"),
+    )
+    return c.join(paper_ids(spark, sf), "doc_id")
+
+
+@lru_cache(maxsize=None)
+def formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as formulas."""
+    n = n_documents(spark, sf)
+    roles = tx.strings((*vocab.FORMULA_ROLES, "bogus"))
+    f = table(spark, sf, "part").select(
+        (F.col("p_partkey") % n).alias("doc_id"),
+        F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("formula_id"),
+        F.col("p_name").alias("formula_latex"),
+        F.concat_ws(" ", "p_type", "p_brand").alias("semantic_description"),
+        F.element_at(roles, (F.col("p_size") % 11 + 1).cast("int")).alias("formula_role"),
+        F.array(F.col("p_brand"), F.concat(F.lit("x"), F.col("p_size").cast("string"))).alias("variables"),
+        F.concat(F.lit("E"), (F.col("p_partkey") % 100).cast("string")).alias("source_evidence_id"),
+    )
+    return f.join(paper_ids(spark, sf), "doc_id")
+
+
+@lru_cache(maxsize=None)
+def formula_variables(spark: SparkSession, sf: str) -> DataFrame:
+    f = formulas(spark, sf).select("formula_id", F.posexplode("variables").alias("pos", "symbol"))
+    return f.select(
+        "formula_id", F.col("pos") + 1, "symbol",
+        F.when(F.col("pos") == 0, F.lit("brand")).otherwise("unclear").alias("meaning"), F.lit(None).cast("string").alias("unit"),
+    ).toDF("formula_id", "pos", "symbol", "meaning", "unit")
+
+
+@lru_cache(maxsize=None)
+def formula_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Part brands and types as formula queries; one per brand, a role for every third."""
+    b = table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_type").alias("t"), F.min("p_partkey").alias("query_id"))
+    return b.select(
+        "query_id", F.col("p_brand").alias("text"), F.when(F.col("query_id") % 3 == 0, F.lit("loss")).alias("role"),
+    )
+
+
+@lru_cache(maxsize=None)
+def metric_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """A word to look for in metrics per nation, with a year filter for every fourth."""
+    words = tx.strings(("tax", "QUANT", "about", "linenumber", "discount", "price", "zz"))
+    k = F.col("n_nationkey")
+    return table(spark, sf, "nation").select(
+        k.cast("bigint").alias("query_id"),
+        F.element_at(words, k % 7 + 1).alias("text"),
+        F.when(k % 4 == 0, F.lit(2010)).alias("year_from"),
+        F.when(k % 5 == 0, F.lit(2020)).alias("year_to"),
+        F.when(k % 3 == 0, F.lit("en")).alias("domain"),
+        F.when(k % 6 == 0, F.lit("m3")).alias("method"),
+        F.when(k % 8 == 0, F.lit("SRC1")).alias("venue"),
+    )
+
+
+@lru_cache(maxsize=None)
+def paper_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics(spark, sf).join(paper_ids(spark, sf), "doc_id")
+
+
+@lru_cache(maxsize=None)
+def citation_records(spark: SparkSession, sf: str) -> DataFrame:
+    p = papers(spark, sf).where("doc_id % 3 = 0")
+    return p.select(
+        "paper_id", "citation_key", F.lit("house").alias("style_id"),
+        F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]")).alias("in_text_citation"),
+        F.col("title").alias("bibliography_entry"),
+    )
+
+
+@lru_cache(maxsize=None)
+def corpus(spark: SparkSession, sf: str) -> Corpus:
+    return Corpus(
+        papers=papers(spark, sf), edges=edges(spark, sf), cards=cards(spark, sf), metrics=paper_metrics(spark, sf),
+        comparisons=comparisons(spark, sf), claims=paper_claims(spark, sf), evidence=evidence(spark, sf),
+        formulas=formulas(spark, sf), variables=formula_variables(spark, sf), chunks=chunks(spark, sf),
+        records=citation_records(spark, sf),
+    )
