@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import mixing, quality_rules, sharding
+from vellum.llm import fingerprints, mixing, packing, quality_rules, sharding, token_files
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded(documents(spark, sf_dir))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compared(documents(spark, sf_dir))
+    shown = {c: fingerprints.printable(c) for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(shown)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: a row's shard follows from its number, so equal texts need not stay together."""
     return sharding.shard(documents(spark, sf_dir), shards=40).select(
@@ -36,6 +50,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
+    "op5_token_files": op5_token_files,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
