@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import fingerprints, mixing, packing, quality_rules, sharding, token_files
+from vellum.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, sharding, token_files
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.grouped(documents(spark, sf_dir), width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_mixing": op2_mixing,
     "op5_token_files": op5_token_files,
     "op6_fingerprints": op6_fingerprints,
