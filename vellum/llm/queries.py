@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, sharding, token_files
+from vellum.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, sharding, token_files, toxicity
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.classified(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op5_token_files": op5_token_files,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
