@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import slices, table
-from vellum.llm.tokens import encoder
+from vellum.llm.tokens import SLICE, encoder
 
 PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, limit: int = 2048, end_id: int = 0, tokenizer: str |
     """``doc_id, piece, start, length, ids_crc32`` of each piece of each document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE):
             rows: list[tuple] = []
             names = part.column("doc_id").to_pylist()
             for name, ids in zip(names, encoder(tokenizer).encode(part.column("text")), strict=True):
