@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -74,3 +74,10 @@ def replaced(df: DataFrame, added: list[str]) -> DataFrame:
     """Drop the columns that an operator is about to add, so that its own win over clashing ones."""
     low = {c.lower() for c in added}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+def judged_rows(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
+    """The rows that an operator's added columns speak for, with their own columns, whatever those are called."""
+    own = docs.columns
+    hidden = docs.toDF(*[c if c in ("doc_id", "text") else f"_own_{c}" for c in own])
+    return operator(hidden).where(keep).select(*hidden.columns).toDF(*own)

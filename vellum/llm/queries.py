@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import fingerprints, jaccard_join, mixing, packing, quality_rules, sharding, token_files, toxicity
+import corpus_pipeline
+from vellum.llm import fingerprints, html_text, jaccard_join, mixing, packing, quality_rules, sharding, token_files, toxicity, weak_quality
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weak_quality.classified(documents(spark, sf_dir))
+    return found.select("doc_id", "posterior", "score", "kept")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded(documents(spark, sf_dir))
 
@@ -53,6 +59,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir)).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
@@ -61,10 +71,13 @@ QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_weak_quality": op4_weak_quality,
     "op5_token_files": op5_token_files,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
+    "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
