@@ -1,8 +1,9 @@
 """Token-id output as Arrow files of equal-length sequences, and reading them back.
 
 A shard ``part-N.arrow`` is an Arrow IPC file. Its record batches have two
-fixed-size-list columns: ``ids`` (uint32) and ``mask`` (uint8, 1 where an id is,
-0 in the padding of the shard's last sequence). All lists have the same length,
+fixed-size-list columns: ``ids`` (uint16 where the vocabulary fits, else uint32)
+and ``mask`` (bits, set where an id is, not in the padding of the shard's last
+sequence). All lists have the same length,
 so sequence ``i`` lies at a computable place and a memory map gives it without
 copying. Documents follow each other without gaps in ascending id order;
 ``part-N.index.arrow`` says where each starts in its shard. Shard numbers follow
@@ -30,27 +31,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import new_path, slices, table
-from vellum.llm.tokens import encoder
+from vellum.llm.tokens import SLICE, encoder
 
 BATCH_SEQUENCES = 256
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _schema(length: int, kind: type) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class Writer:
     """Writes one shard; ids are kept in memory for one record batch only."""
 
-    def __init__(self, folder: str, part: int, length: int) -> None:
+    def __init__(self, folder: str, part: int, length: int, kind: type) -> None:
         self.fs, root = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
         self.to = [f"{root}/part-{part:06d}.arrow", f"{root}/part-{part:06d}.index.arrow"]
         self.own = [f"{x}.{uuid.uuid4().hex}" for x in self.to]
-        self.length = length
+        self.length, self.kind, self.schema = length, kind, _schema(length, kind)
         self.files = [self.fs.open_output_stream(x) for x in self.own]
-        self.out = [pa.ipc.new_file(f, s) for f, s in zip(self.files, (_schema(length), INDEX), strict=True)]
+        self.out = [pa.ipc.new_file(f, s) for f, s in zip(self.files, (self.schema, INDEX), strict=True)]
         self.waiting: list[np.ndarray] = []
         self.held = self.total = self.docs = 0
 
@@ -63,10 +64,10 @@ class Writer:
         for at in range(0, n, full):
             ids = flat[at : min(at + full, n)]
             padded = -len(ids) % self.length
-            mask = np.repeat(np.array([1, 0], np.uint8), [len(ids), padded])
-            ids = np.concatenate([ids, np.zeros(padded, np.uint32)])
+            mask = np.repeat([True, False], [len(ids), padded])
+            ids = np.concatenate([ids, np.zeros(padded, self.kind)])
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-            self.out[0].write_batch(pa.RecordBatch.from_arrays(columns, schema=_schema(self.length)))
+            self.out[0].write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.waiting, self.held = [flat[n:]], len(flat) - n
 
     def add(self, names: pa.Array, texts: list[np.ndarray]) -> None:
@@ -111,11 +112,11 @@ class Shard:
             self._at, self._batch = batch, self.sequences.get_batch(batch)
         return self._batch
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence ``i``, as views into the file."""
         batch, row = self._flat(i // BATCH_SEQUENCES), i % BATCH_SEQUENCES
-        where = slice(row * self.length, (row + 1) * self.length)
-        return tuple(batch.column(c).values.to_numpy()[where] for c in ("ids", "mask"))
+        ids = batch.column("ids").values.to_numpy()[row * self.length : (row + 1) * self.length]
+        return ids, batch.column("mask").values.slice(row * self.length, self.length)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from place ``start`` of the shard on; a view if one record batch has them all."""
@@ -125,7 +126,7 @@ class Shard:
             some = self._flat(start // full).column("ids").values.to_numpy()[at : min(full, at + n)]
             out.append(some)
             start, n = start + len(some), n - len(some)
-        return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, np.uint32)])
+        return out[0] if len(out) == 1 else np.concatenate(out or [np.zeros(0, np.uint16)])
 
 
 def write(docs: DataFrame, folder: str, length: int = 2048, end_id: int = 2, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,10 +135,10 @@ def write(docs: DataFrame, folder: str, length: int = 2048, end_id: int = 2, tok
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         out = None
-        for some in slices(batches):
-            out = out or Writer(folder, part, length)
+        for some in slices(batches, most=SLICE):
+            out = out or Writer(folder, part, length, encoder(tokenizer).type)
             texts = encoder(tokenizer).encode(some.column("text"))
-            out.add(some.column("doc_id"), [np.append(x, end_id).astype(np.uint32) for x in texts])
+            out.add(some.column("doc_id"), [np.append(x, end_id).astype(out.kind) for x in texts])
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [out.docs], "n_tokens": [out.total]})
@@ -159,7 +160,7 @@ def read(spark: SparkSession, shards: DataFrame, folder: str) -> DataFrame:
                 for k in range(shard.index.num_record_batches):
                     some = shard.index.get_batch(k)
                     starts, sizes = (some.column(c).to_numpy() for c in ("start", "n_tokens"))
-                    sums = [zlib.crc32(np.ascontiguousarray(shard.ids(a, n), "<u4").data) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                    sums = [zlib.crc32(shard.ids(a, n).astype("<u4").data) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [some.column("doc_id"), pa.array(starts + row["base"]), pa.array(sizes), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
