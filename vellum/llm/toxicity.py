@@ -107,16 +107,18 @@ def _word_place(code: np.ndarray) -> np.ndarray:
 
 
 def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct runs of three words ``u, v, w`` with the classes that have them, merged over a few million words of a task."""
+    """Distinct runs of three words ``u, v, w`` by class: ``pair`` is v and w, ``tail`` 28 bits of u and the class.
+
+    They are merged over a few million words of a task.
+    """
     kept: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
         before, pair, toxic = (np.concatenate(x) for x in zip(*kept, strict=True))
         kept.clear()
-        _, first, which = np.unique(mix(pair + mix(before)), return_index=True, return_inverse=True)
-        flags = [(np.bincount(which, toxic == k, len(first)) > 0).astype(np.int32) for k in (0, 1)]
-        ids = [pair[first] >> U64(32), pair[first] & U64(0xFFFFFFFF), before[first]]
-        return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in ids), *map(pa.array, flags)], names=["v", "w", "u", "c0", "c1"])
+        tail = (((before & U64((1 << 28) - 1)) << U64(1)) | toxic.astype(np.uint64)).astype(np.int32)
+        _, first = np.unique(mix(pair + mix(tail.astype(np.uint64))), return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(pair[first].view(np.int64)), pa.array(tail[first])], names=["pair", "tail"])
 
     held = 0
     for some in slices(batches):
@@ -133,39 +135,37 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the tables (0: pairs after two words or more, 1: words) from triples that come sorted by v, w, u."""
-    rest: np.ndarray | None = None
+    """Rows of the tables (0: pairs after two words or more, 1: words) from triples that come sorted."""
+    rest: tuple[np.ndarray, np.ndarray] | None = None
 
     def out(kind: int, place: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
         at, which = np.unique(place, return_inverse=True)
         sums = [np.bincount(which, x, len(at)) for x in values]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), *map(pa.array, sums)], names=["kind", "place", "c0", "c1"])
 
-    def tables(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pair = (rows[0].astype(np.uint64) << U64(32)) | rows[1].astype(np.uint64)
-        other = np.append(True, pair[1:] != pair[:-1])
-        new = np.flatnonzero(other | np.append(True, rows[2][1:] != rows[2][:-1]))
-        flags = [np.maximum.reduceat(rows[k], new) for k in (3, 4)]
-        start = np.flatnonzero(other[new])
-        c0, c1 = (np.add.reduceat(x, start).astype(float) for x in flags)
-        pair = pair[new][start]
-        often = c0 + c1 > 1
+    def tables(pair: np.ndarray, tail: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.append(True, (pair[1:] != pair[:-1]) | (tail[1:] != tail[:-1]))
+        pair, toxic = pair[new], tail[new] & 1
+        start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        c1 = np.add.reduceat(toxic, start).astype(float)
+        c0 = np.diff(np.append(start, len(pair))) - c1
+        pair, often = pair[start].view(np.uint64), c0 + c1 > 1
         if often.any():
             yield out(0, _pair_place(pair[often]), [c0[often], c1[often]])
         yield out(1, _word_place(pair & U64(0xFFFFFFFF)), [(c0 > 0) * 1.0, (c1 > 0) * 1.0])
 
     for some in batches:
-        rows = np.stack([some.column(c).to_numpy().astype(np.int64) for c in ("v", "w", "u", "c0", "c1")])
-        rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
-        if rows.shape[1] == 0:
+        pair, tail = some.column("pair").to_numpy(), some.column("tail").to_numpy()
+        if rest is not None:
+            pair, tail = np.concatenate([rest[0], pair]), np.concatenate([rest[1], tail])
+        if len(pair) == 0:
             continue
-        last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])  # the last pair may go on
-        cut = int(np.flatnonzero(last)[0])
+        cut = int(np.searchsorted(pair, pair[-1]))  # the last pair may go on
         if cut:
-            yield from tables(rows[:, :cut])
-        rest = rows[:, cut:]
-    if rest is not None and rest.shape[1]:
-        yield from tables(rest)
+            yield from tables(pair[:cut], tail[:cut])
+        rest = pair[cut:], tail[cut:]
+    if rest is not None and len(rest[0]):
+        yield from tables(*rest)
 
 
 def _share(own: list[np.ndarray], backoff: np.ndarray) -> np.ndarray:
@@ -278,10 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     known = _learnable(labels.select("doc_id", "toxic"))
     texts = docs.select("doc_id", "text").where(~held_out())
     side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known.hint("shuffle_hash")
-    counted = texts.join(side, "doc_id").select("text", "toxic").mapInArrow(_triples, "v bigint, w bigint, u bigint, c0 int, c1 int")
+    counted = texts.join(side, "doc_id").select("text", "toxic").mapInArrow(_triples, "pair bigint, tail int")
     counts = (
-        counted.repartition("v")
-        .sortWithinPartitions("v", "w", "u")
+        counted.repartition("pair")
+        .sortWithinPartitions("pair", "tail")
         .mapInArrow(_statistics, COUNTS)
         .groupBy("kind", "place")
         .agg(*[F.sum(c).alias(c) for c in ("c0", "c1")])
