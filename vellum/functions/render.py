@@ -24,7 +24,11 @@ def short_citation(record: Column, authors_summary: Column, year: Column) -> Col
 
 
 def number_text(value: Column) -> Column:
-    return value.cast("double").cast("string")
+    """Plain decimal digits from 0.0001 up to 10**16, where shorter notation begins."""
+    number = value.cast("double")
+    size = F.abs(number)
+    plain = F.regexp_replace(number.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when((size >= 1e7) & (size < 1e16) & (F.floor(number) == number), plain).otherwise(number.cast("string"))
 
 
 def format_metric(name: Column, value: Column, value_text: Column, unit: Column, condition: Column) -> Column:

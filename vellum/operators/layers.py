@@ -14,6 +14,7 @@ from vellum.operators import lexical as lx
 from vellum.operators import rank as rk
 from vellum.operators import vector as vc
 from vellum.operators.skew import first_per_key, substring_pairs, top_k
+from vellum.session import written
 
 PAPER_INDEX_COLS = ("title", "keywords", "domain_tags", "method_tags", "one_line_description")
 RESULT_COLS = (
@@ -42,7 +43,7 @@ class Corpus:
     embeddings: DataFrame | None = None
 
     def paper_index(self) -> lx.TextIndex:
-        return lx.build_index(self.papers, ["paper_id"], PAPER_INDEX_COLS)
+        return lx.persisted(lx.build_index(self.papers, ["paper_id"], PAPER_INDEX_COLS))
 
     def evidence_index(self) -> lx.TextIndex:
         return lx.build_index(self.evidence, ["paper_id", "evidence_id"], ("source_text", "claim", "section"))
@@ -124,9 +125,9 @@ def available_levels(corpus: Corpus, wanted: DataFrame | None = None) -> DataFra
         if df is None:
             continue
         ids = df.select("paper_id", F.lit(i).alias("level"))
-        if wanted is not None:
-            ids = ids.join(wanted.select("paper_id").distinct(), "paper_id", "left_semi")
         seen = ids if seen is None else seen.unionByName(ids)
+    if wanted is not None:
+        seen = seen.join(wanted.select("paper_id").distinct(), "paper_id", "left_semi")
     flags = [F.max((F.col("level") == i).cast("int")).alias(f"_l{i}") for i in range(len(names))]
     levels = F.array_compact(F.array(*[F.when(F.col(f"_l{i}") == 1, F.lit(n)) for i, n in enumerate(names)]))
     return seen.groupBy("paper_id").agg(*flags).where("_l0 = 1").select("paper_id", levels.alias("available_levels"))
@@ -142,7 +143,12 @@ def evidence_ids(evidence: DataFrame, n: int = 3, wanted: DataFrame | None = Non
 
 
 def assemble(ranked: DataFrame, corpus: Corpus, mode: str, key_fact: Column | None = None, best_use: str = "") -> DataFrame:
-    """Ranked (query_id, paper_id, rank, relevance) rows -> result items."""
+    """Ranked (query_id, paper_id, rank, relevance) rows -> result items.
+
+    The ranked lists, a few rows per query, are written first: papers, levels and
+    evidence are each looked up from them.
+    """
+    ranked = written(ranked, "ranked")
     fact = F.col("one_line_description") if key_fact is None else key_fact
     carried = [c for c in ranked.columns if c.startswith("fact_")]
     base = ranked.select("query_id", "paper_id", "rank", "relevance", *carried)
@@ -172,12 +178,16 @@ def rank_papers(queries: DataFrame, corpus: Corpus, k: int, query_vectors: DataF
     expanded = corpus.concepts is not None
     if expanded:
         queries = rk.expand_queries(queries, rk.alias_map(corpus.concepts))
-    cands = rk.candidates(index or corpus.paper_index(), corpus.papers, queries, corpus.edges, k, expanded)
-    if query_vectors is not None and corpus.embeddings is not None:
-        typed = query_vectors.withColumn("object_type", F.lit("paper"))
-        hits = vc.vector_topk(typed, corpus.embeddings, k)
-        cands = rk.vector_union(cands, rk.check_pairs(hits, queries, corpus.papers).where("passes"))
-    return rk.rank(cands, corpus.papers, queries, corpus.edges, k)
+    index, features = index or corpus.paper_index(), rk.featured(corpus.papers, corpus.edges)
+    if query_vectors is None or corpus.embeddings is None:
+        cands = rk.candidates(index, corpus.papers, queries, corpus.edges, k, expanded, features)
+        return rk.rank(cands, corpus.papers, queries, corpus.edges, k, features)
+    typed = query_vectors.withColumn("object_type", F.lit("paper"))
+    hits = written(vc.vector_topk(typed, corpus.embeddings, k), "vector-hits")
+    # a vector hit may fall below papers without one; at most k rows have a hit, so k more are enough
+    cands = rk.candidates(index, corpus.papers, queries, corpus.edges, 2 * k, expanded, features)
+    cands = rk.vector_union(cands, rk.check_pairs(hits, queries, corpus.papers).where("passes"))
+    return rk.rank(cands, corpus.papers, queries, corpus.edges, k, features)
 
 
 def discover(queries: DataFrame, corpus: Corpus, k: int = 10, query_vectors: DataFrame | None = None) -> DataFrame:

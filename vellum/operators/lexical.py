@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vellum import vocab
 from vellum.functions import text as tx
 from vellum.operators.skew import substring_pairs, top_k
-from vellum.session import cut_lineage
+from vellum.session import written
 
 SCORE_DIGITS = 9  # float sums differ in the last bits between partitionings
 
@@ -80,6 +80,13 @@ def build_index(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> TextI
     return TextIndex(postings, stats, df.select(*ids, *cols), tuple(ids), tuple(cols))
 
 
+def persisted(index: TextIndex) -> TextIndex:
+    """The index as written tables, so that a search reads postings instead of texts."""
+    return TextIndex(
+        written(index.postings, "postings"), written(index.stats, "index-stats"), written(index.docs, "index-docs"), index.ids, index.cols
+    )
+
+
 def positions(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Positional postings: one row per token with its column and 1-based position."""
     per_col = F.array(
@@ -184,17 +191,14 @@ def match_any(index: TextIndex, terms: DataFrame, k: int | None = None) -> DataF
     on the other terms, beats that bound do not have to walk the frequent
     postings: only documents within the bound of the k-th score are completed
     with them. All other queries take the full walk, so the result is exact.
-    The weighed terms (a few rows per query) are materialised to see whether any
-    term is that frequent.
+    The weighed terms are a few rows per query and are written once.
     """
     ids = list(index.ids)
     weighed = weigh_terms(index, terms).where("df > 0")
     cols = ["query_id", "term", "qtf", "idf", "avg_len"]
     weak = F.col("idf") <= vocab.IDF_FLOOR
     if k is not None:
-        weighed = cut_lineage(weighed)
-        if weighed.where(weak).isEmpty():
-            k = None
+        weighed = written(weighed, "terms")
     if k is None:
         return index.postings.join(weighed.select(*cols), "term").groupBy("query_id", *ids).agg(_total())
     bound = weighed.groupBy("query_id").agg(
@@ -211,7 +215,8 @@ def match_any(index: TextIndex, terms: DataFrame, k: int | None = None) -> DataF
         .agg(F.min("part").alias("kth"), F.count("*").alias("n"))
         .join(bound, "query_id")
         .where((F.col("n") == k) & (F.col("kth") > F.col("lift")))
-        .select("query_id", (F.col("kth") - F.col("lift")).alias("at_least"))
+        # scores are rounded and tied by id, so keep what is within half a digit as well
+        .select("query_id", (F.col("kth") - F.col("lift") - 10.0**-SCORE_DIGITS).alias("at_least"))
     )
     close = strong.join(kth, "query_id").where(F.col("part") >= F.col("at_least"))
     lifted = (
@@ -330,6 +335,8 @@ def substring_fallback(queries: DataFrame, hits: DataFrame, docs: DataFrame, ids
         .where(tx.has_text(F.col(text)))
         .select("query_id", F.col(text).alias("pattern"))
     )
+    if unknown := set(cols) - set(docs.columns):
+        raise ValueError(f"no such columns: {sorted(unknown)}")
     parts = F.array(
         *[
             F.col(c) if docs.schema[c].dataType.typeName() != "array" else F.to_json(c)

@@ -9,6 +9,7 @@ from vellum.functions import scoring as sc
 from vellum.functions import text as tx
 from vellum.operators import lexical as lx
 from vellum.operators.skew import first_per_key, substring_pairs, top_k
+from vellum.session import written
 
 FILTERS = ("year_from", "year_to", "domain", "method", "venue")
 PAPER_FEATURES = ("paper_id", "year", "venue", "domain_tags", "method_tags")
@@ -125,12 +126,12 @@ def filter_papers(papers: DataFrame, queries: DataFrame, k: int, order: tuple =
     ranked = _with_signature(papers)
     desc = [F.desc_nulls_last(c) for c in order]
     short = top_k(ranked, ["signature"], [*desc, F.asc("paper_id")], k, "_r")
-    signatures = ranked.select("signature", *_SIGNATURE).dropDuplicates(["signature"]).withColumn(
-        "venues", F.array("venue")
+    signatures = written(
+        ranked.select("signature", *_SIGNATURE).dropDuplicates(["signature"]).withColumn("venues", F.array("venue")), "signatures"
     )
     asked = queries.where(has_filters())
     key = F.sha2(F.to_json(F.struct(*FILTERS), {"ignoreNullFields": "false"}), 256)
-    filters = asked.select(key.alias("filter_id"), *FILTERS).dropDuplicates(["filter_id"])
+    filters = written(asked.select(key.alias("filter_id"), *FILTERS).dropDuplicates(["filter_id"]), "filters")
     found = _matching_signatures(filters, signatures).join(short.drop("_r"), "signature")
     best = top_k(found, ["filter_id"], [*desc, F.asc("paper_id")], k, "pos")
     return asked.select("query_id", key.alias("filter_id")).join(best, "filter_id").select(
@@ -145,9 +146,14 @@ def in_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("target_paper").alias("paper_id")).agg(F.count("*").alias("degree"))
 
 
+def featured(papers: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ranking features of every paper as one written table."""
+    return written(with_centrality(papers.select(*PAPER_FEATURES), edges), "features")
+
+
 def with_centrality(df: DataFrame, edges: DataFrame) -> DataFrame:
     """Add in-degree and its share of the largest in-degree."""
-    deg = in_degrees(edges)
+    deg = written(in_degrees(edges), "degrees")
     top = deg.agg(F.max("degree").alias("m")).scalar()
     return df.join(deg, "paper_id", "left").withColumn(
         "centrality", sc.centrality(F.col("degree"), F.coalesce(top, F.lit(0)))
@@ -190,29 +196,37 @@ def expand_queries(queries: DataFrame, aliases: DataFrame, text: str = "text") -
     )
 
 
-def descendants(concepts: DataFrame, max_depth: int = 64) -> DataFrame:
-    """All (ancestor, descendant, depth) pairs along child links, shortest path."""
-    spark = concepts.sparkSession
-    links = concepts.select("concept_id", F.explode("child_concepts").alias("child")).distinct()
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(ancestor, node, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT concept_id, child, 1 FROM {{links}}
-          UNION ALL
-          SELECT w.ancestor, l.child, w.depth + 1 FROM walk w JOIN {{links}} l ON l.concept_id = w.node
-          WHERE w.depth < {max_depth}
-        )
-        SELECT ancestor, node AS descendant, min(depth) AS depth FROM walk
-        WHERE ancestor <> node GROUP BY ancestor, node
-        """,
-        links=links,
+def descendants(concepts: DataFrame) -> DataFrame:
+    """All (ancestor, descendant, depth) pairs along child links, shortest path.
+
+    Each round walks one link on from the pairs that the round before has found
+    for the first time, until none is new; so a diamond or a cycle costs no more
+    than its pairs, and no path is too long.
+    """
+    links = written(
+        concepts.select(F.col("concept_id").alias("parent"), F.explode("child_concepts").alias("child")).distinct(), "links"
     )
+    fresh = written(links.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth")), "pairs")
+    known = fresh
+    depth = 1
+    while not fresh.isEmpty():
+        depth += 1
+        further = (
+            fresh.join(links, F.col("descendant") == F.col("parent"))
+            .select("ancestor", F.col("child").alias("descendant"), F.lit(depth).alias("depth"))
+            .distinct()
+        )
+        fresh = written(further.join(known, ["ancestor", "descendant"], "left_anti").select("ancestor", "descendant", "depth"), "pairs")
+        known = known.unionByName(fresh)
+    return known.where("ancestor <> descendant")
 
 
 # ---- candidates and ranking ---------------------------------------------------
 
 
-def candidates(index: lx.TextIndex, papers: DataFrame, queries: DataFrame, edges: DataFrame, k: int, expanded: bool = False) -> DataFrame:
+def candidates(
+    index: lx.TextIndex, papers: DataFrame, queries: DataFrame, edges: DataFrame, k: int, expanded: bool = False, features: DataFrame | None = None
+) -> DataFrame:
     """(query_id, paper_id, bm25_norm) by the candidate rule.
 
     Lexical hits are cut by the filters; a query whose words hit nothing takes all
@@ -220,14 +234,12 @@ def candidates(index: lx.TextIndex, papers: DataFrame, queries: DataFrame, edges
     the substring fallback if it has text only. Lists without lexical evidence are
     ranked by year and in-degree alone, so each keeps its best ``k``.
     """
-    hits = (
-        lx.match_expanded(index, queries)
-        if expanded
-        else lx.match_all(index, lx.query_terms(queries))
+    hits = written(
+        lx.match_expanded(index, queries) if expanded else lx.match_all(index, lx.query_terms(queries)), "hits"
     )
     lexical = check_pairs(hits, queries, papers).where("passes").select("query_id", "paper_id", "score")
     rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    ranked = with_centrality(papers.select(*PAPER_FEATURES), edges)
+    ranked = features if features is not None else featured(papers, edges)
     by_filter = _filtered_at_zero(ranked, rest, k)
     blank = rest.where(~has_filters() & ~tx.has_text(F.col("text")))
     everything = (
@@ -244,7 +256,7 @@ def candidates(index: lx.TextIndex, papers: DataFrame, queries: DataFrame, edges
 
 
 def _fallback_columns(index: lx.TextIndex) -> list[str]:
-    return [c for c in ("title", "one_line", "keywords") if c in index.cols]
+    return [c for c in ("title", "one_line_description", "keywords") if c in index.cols]
 
 
 def _static_score():
@@ -259,7 +271,7 @@ def _filtered_at_zero(ranked: DataFrame, queries: DataFrame, k: int) -> DataFram
     return filter_papers(scored, queries, k, ("static_score",)).select("query_id", "paper_id")
 
 
-def rank(cands: DataFrame, papers: DataFrame, queries: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def rank(cands: DataFrame, papers: DataFrame, queries: DataFrame, edges: DataFrame, k: int, features: DataFrame | None = None) -> DataFrame:
     """Hybrid score of every candidate and the best k per query.
 
     ``cands`` has bm25_norm and optionally vector_norm (null where a row has no
@@ -268,11 +280,12 @@ def rank(cands: DataFrame, papers: DataFrame, queries: DataFrame, edges: DataFra
     cols = ["query_id", "paper_id", "bm25_norm"]
     if "vector_norm" not in cands.columns:
         cands = cands.withColumn("vector_norm", F.lit(None).cast("double"))
-    featured = with_centrality(check_pairs(cands.select(*cols, "vector_norm"), queries, papers), edges)
+    features = features if features is not None else featured(papers, edges)
+    known = check_pairs(cands.select(*cols, "vector_norm"), queries, features).join(features.select("paper_id", "centrality"), "paper_id")
     score = sc.score_hybrid(
         F.col("bm25_norm"), F.col("vector_norm"), sc.recency(F.col("year")), F.col("metadata"), F.col("centrality")
     )
-    scored = featured.withColumn("relevance", F.round(score, lx.SCORE_DIGITS))
+    scored = known.withColumn("relevance", F.round(score, lx.SCORE_DIGITS))
     return top_k(scored, ["query_id"], [F.desc("relevance"), F.asc("paper_id")], k).select(
         "query_id", "paper_id", "rank", "relevance", "bm25_norm"
     )

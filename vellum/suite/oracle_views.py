@@ -232,6 +232,8 @@ def with_views(sql: str) -> str:
         return sql
     views = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in needed)
     sql = sql.strip()
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {views},\n{sql[15:]}"
     if sql.lower().startswith("with "):
         return f"with {views},\n{sql[5:]}"
     return f"with {views}\n{sql}"

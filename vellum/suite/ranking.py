@@ -134,7 +134,7 @@ def expand_queries(spark, sf):
   union all select 'root', concept_id from concepts where concept_id like 'r%'),
 walk as (select concept_id as ancestor, child as descendant, 1 as depth from links
   union all select w.ancestor, l.child, w.depth + 1 from walk w join links l on l.concept_id = w.descendant)
-select ancestor, descendant, min(depth) as depth from walk group by all""".replace("with recursive", "with"), name="descendants")
+select ancestor, descendant, min(depth) as depth from walk group by all""", name="descendants")
 def descendants(spark, sf):
     c = v.concepts(spark, sf).select("concept_id", "child_concepts")
     regions = c.where(F.startswith("concept_id", F.lit("r")))
@@ -172,12 +172,10 @@ mr as (select *, row_number() over (partition by query_id order by relevance des
 mf as (select *, m.name || '=' || coalesce(m.value_text, cast(m.value as varchar), '?') || case when m.unit is null then '' else ' u' end || ' (' || m.c || ')' as fact from mr where rank <= 10)"""
 
 
-@query(_MFOUND + f""" select {_ITEM}, 'RESULT' as mode, 'structured results' as best_use, regexp_replace(fact, '=[0-9.E]+', '=#') as key_fact
+@query(_MFOUND + f""" select {_ITEM}, 'RESULT' as mode, 'structured results' as best_use, fact as key_fact
 from mf r {_JOINS}""")
 def results(spark, sf):
-    """Metric hits; the number itself is masked because the engines print doubles differently."""
-    out = _lists(_six(ly.results(v.metric_queries(spark, sf), v.corpus(spark, sf)), "relevance")).drop("token_cost")
-    return out.withColumn("key_fact", F.regexp_replace("key_fact", "^([a-z]+)=[0-9.E]+", "$1=#"))
+    return _lists(_six(ly.results(v.metric_queries(spark, sf), v.corpus(spark, sf)), "relevance")).drop("token_cost")
 
 
 @query(_MFOUND + """ select r.query_id, r.paper_id, r.rank, comparison_id, comparison_validity from mf r left join comparisons c using (paper_id)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +12,33 @@ from vellum.functions import keys as ky
 from vellum.functions import text as tx
 from vellum.operators.layers import Corpus
 from vellum.operators.skew import number_within
+from vellum.session import written
 
+_KNOWN: dict[tuple, DataFrame] = {}
 
-@lru_cache(maxsize=None)
+
+def _once(view):
+    """Build a view once for each running session and folder; views of stopped sessions are let go."""
+
+    @wraps(view)
+    def known(spark: SparkSession, *at: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        for key in [k for k in _KNOWN if k[0] != app]:
+            del _KNOWN[key]
+        key = (app, view.__name__, *at)
+        if key not in _KNOWN:
+            _KNOWN[key] = view(spark, *at)
+        return _KNOWN[key]
+
+    return known
+
+
+@_once
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@lru_cache(maxsize=None)
+@_once
 def papers(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     i = F.col("doc_id")
@@ -74,12 +93,12 @@ def n_documents(spark: SparkSession, sf: str):
     return table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
 
 
-@lru_cache(maxsize=None)
+@_once
 def paper_ids(spark: SparkSession, sf: str) -> DataFrame:
     return papers(spark, sf).select("doc_id", "paper_id")
 
 
-@lru_cache(maxsize=None)
+@_once
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """Directed typed edges between papers, by number and by id."""
     n = n_documents(spark, sf)
@@ -98,7 +117,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Non-empty lines of each document, numbered."""
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
@@ -116,7 +135,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf)
     n = F.col("paragraph_index")
@@ -132,7 +151,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
     i = F.col("item_id")
@@ -145,7 +164,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def paper_claims(spark: SparkSession, sf: str) -> DataFrame:
     """First evidence line of every paper as a stored claim."""
     e = evidence(spark, sf).where("paragraph_index = 1")
@@ -158,7 +177,7 @@ def paper_claims(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def queries(spark: SparkSession, sf: str) -> DataFrame:
     """First three tokens of each benchmark text with filters and an intent by number."""
     b = table(spark, sf, "benchmark")
@@ -177,7 +196,7 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Line items unpivoted into one metric per measure."""
     n = n_documents(spark, sf)
@@ -220,7 +239,7 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def concepts(spark: SparkSession, sf: str) -> DataFrame:
     """Region over nation taxonomy with one orphan parent."""
     r, n = table(spark, sf, "region"), table(spark, sf, "nation")
@@ -249,7 +268,7 @@ def concepts(spark: SparkSession, sf: str) -> DataFrame:
     return region.unionByName(nation)
 
 
-@lru_cache(maxsize=None)
+@_once
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     n = n_documents(spark, sf)
     ids = paper_ids(spark, sf)
@@ -263,7 +282,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.join(ids, "doc_id").drop("doc_id")
 
 
-@lru_cache(maxsize=None)
+@_once
 def sections(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as manuscript sections with citation commands and labels."""
     c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
@@ -278,14 +297,14 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def bibliography(spark: SparkSession, sf: str) -> DataFrame:
     """k0..k4 for every manuscript."""
     m = table(spark, sf, "conversations").select(F.concat(F.lit("m"), F.col("conv_id").cast("string")).alias("manuscript_id")).distinct()
     return m.withColumn("key", F.explode(F.array(*[F.lit(f"k{i}") for i in range(5)])))
 
 
-@lru_cache(maxsize=None)
+@_once
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = tx.strings(("Ready now", "almost there", "NOT READY"))
     return table(spark, sf, "conversations").where("role = 'assistant'").select(
@@ -298,7 +317,7 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def cards(spark: SparkSession, sf: str) -> DataFrame:
     p = papers(spark, sf)
     i = F.col("doc_id")
@@ -310,7 +329,7 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def comparisons(spark: SparkSession, sf: str) -> DataFrame:
     """First line of every order as a comparison row."""
     n = n_documents(spark, sf)
@@ -327,7 +346,7 @@ def comparisons(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(paper_ids(spark, sf), "doc_id")
 
 
-@lru_cache(maxsize=None)
+@_once
 def formulas(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as formulas."""
     n = n_documents(spark, sf)
@@ -344,7 +363,7 @@ def formulas(spark: SparkSession, sf: str) -> DataFrame:
     return f.join(paper_ids(spark, sf), "doc_id")
 
 
-@lru_cache(maxsize=None)
+@_once
 def formula_variables(spark: SparkSession, sf: str) -> DataFrame:
     f = formulas(spark, sf).select("formula_id", F.posexplode("variables").alias("pos", "symbol"))
     return f.select(
@@ -353,7 +372,7 @@ def formula_variables(spark: SparkSession, sf: str) -> DataFrame:
     ).toDF("formula_id", "pos", "symbol", "meaning", "unit")
 
 
-@lru_cache(maxsize=None)
+@_once
 def formula_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Part brands and types as formula queries; one per brand, a role for every third."""
     b = table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_type").alias("t"), F.min("p_partkey").alias("query_id"))
@@ -362,7 +381,7 @@ def formula_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def metric_queries(spark: SparkSession, sf: str) -> DataFrame:
     """A word to look for in metrics per nation, with a year filter for every fourth."""
     words = tx.strings(("tax", "QUANT", "about", "linenumber", "discount", "price", "zz"))
@@ -378,12 +397,12 @@ def metric_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def paper_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics(spark, sf).join(paper_ids(spark, sf), "doc_id")
 
 
-@lru_cache(maxsize=None)
+@_once
 def citation_records(spark: SparkSession, sf: str) -> DataFrame:
     p = papers(spark, sf).where("doc_id % 3 = 0")
     return p.select(
@@ -393,10 +412,10 @@ def citation_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=None)
+@_once
 def corpus(spark: SparkSession, sf: str) -> Corpus:
     return Corpus(
-        papers=papers(spark, sf), edges=edges(spark, sf), cards=cards(spark, sf), metrics=paper_metrics(spark, sf),
+        papers=written(papers(spark, sf), "papers"), edges=written(edges(spark, sf), "edges"), cards=cards(spark, sf), metrics=paper_metrics(spark, sf),
         comparisons=comparisons(spark, sf), claims=paper_claims(spark, sf), evidence=evidence(spark, sf),
         formulas=formulas(spark, sf), variables=formula_variables(spark, sf), chunks=chunks(spark, sf),
         records=citation_records(spark, sf),
