@@ -3,10 +3,20 @@
 Every distinct shingle of a document flips one bit of a sketch, chosen by its
 hash. Two sketches differ in at most as many bits as the sets have elements in
 only one of them. For two sets that meet the similarity, that number has a bound
-``d`` which follows from their sizes alone; so of ``d + 1`` words that a sketch
-is cut into, one at least is equal in both, and a join on (size band, place of
-the word, word) finds every pair. Candidates are verified on whole shingle sets;
-the result is exact up to equal 64-bit hashes of different shingles.
+``d`` which follows from their sizes alone; so of ``d + 3`` words that a sketch
+is cut into, three at least are equal in both, and a join on (size band, place of
+the word, word) finds the pair. Candidates are then compared by the Hamming
+distance of their whole sketches, and what passes is verified on whole sets.
+
+Words of few elements are equal in very many unlike sets. In sketches of fewer
+than 24 words a word of no or one element is joined together with each word of a
+second, independent sketch, of which two similar sets share one at least too. In
+longer ones such light words are left out, and the longer the sketch, the more
+elements a word must have: so that a pair at the very threshold, of whose words
+about 40 in 100 are equal, shares 8 of those kept on average in the shortest
+sketches and 16 in the others. It is missed only if it happens to share none,
+less than once in 1,000 to 1,000,000 such pairs; nearer pairs still less. Else the
+result is exact up to equal 64-bit hashes of shingles.
 
 Size bands: band ``i`` has the sizes from ``edges[i]`` on. A document also enters
 the band below if a smaller set there could still meet the similarity. Bands with
@@ -43,47 +53,68 @@ from vellum.llm.kernels import mix, shingles
 U64 = np.uint64
 
 
+#: Words by which a sketch has more than the differing elements; so many at least are untouched in both of a pair.
+SPARE = 3
+#: Sketches of at least so many words leave out light words; shorter ones refine them.
+LONG = 24
+#: Words that a sketch must have for its lightest joined words to need one element more than two, three, and so on.
+HEAVIER = np.array([48, 96, 192, 400, 800])
+
+
 class Bands:
     """Size bands and the number of sketch words of each, for similarity ``num / den``."""
 
-    def __init__(self, num: int, den: int, ratio: float = 1.5) -> None:
+    def __init__(self, num: int, den: int, ratio: float = 1.3) -> None:
         self.num, self.den = num, den
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * ratio)))
-        self.words = [self.differing(hi - 1) + 1 for hi in self.edges[1:]]
+        self.differing = [self.most_differing(hi - 1) for hi in self.edges[1:]]
 
-    def differing(self, a: int) -> int:
+    def most_differing(self, a: int) -> int:
         """Most elements that only one of two similar sets has, the smaller of size ``a``."""
         b = a * self.den // self.num
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
+    def own(self, n: int) -> int:
+        return int(np.searchsorted(self.edges, n, "right")) - 1
+
+    def words(self, band: int) -> int:
+        return self.differing[band] + SPARE
+
     def of(self, n: int) -> list[int]:
         """The bands that a set of ``n`` elements enters and that need a join."""
-        own = int(np.searchsorted(self.edges, n, "right")) - 1
-        out = [own] if self.words[own] > 1 else []
-        if own and (self.edges[own] - 1) * self.den >= n * self.num and self.words[own - 1] > 1:
+        own = self.own(n)
+        out = [own] if self.differing[own] else []
+        if own and (self.edges[own] - 1) * self.den >= n * self.num and self.differing[own - 1]:
             out.append(own - 1)
         return out
 
 
-def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
-    """``words`` 64-bit parity words of sorted distinct hashes; the top bits of a hash name the word, the low six the bit."""
+def sketch(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``words`` 64-bit parity words of sorted distinct hashes, and the elements of each.
+
+    The top bits of a hash name the word, the low six the bit.
+    """
     place = (hashes >> U64(32)) * U64(words) >> U64(32)  # rises with the hash
-    starts = np.searchsorted(place, np.arange(words, dtype=np.uint64))
-    bits = U64(1) << (hashes & U64(63))
+    borders = np.searchsorted(place, np.arange(words + 1, dtype=np.uint64))
     running = np.zeros(len(hashes) + 1, np.uint64)
-    np.bitwise_xor.accumulate(bits, out=running[1:])
-    return running[np.append(starts[1:], len(hashes))] ^ running[starts]
+    np.bitwise_xor.accumulate(U64(1) << (hashes & U64(63)), out=running[1:])
+    return running[borders[1:]] ^ running[borders[:-1]], np.diff(borders)
 
 
-def keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of a set: a hash of band, place and word for each sketch word of each band it enters."""
+def keys(hashes: np.ndarray, bands: Bands, band: int) -> np.ndarray:
+    """Join keys of a set in a band: hashes of band, place and word of its sketch words."""
     out = [np.zeros(0, np.uint64)]
-    for band in bands.of(len(hashes)):
-        words = sketch(hashes, bands.words[band])
-        place = np.arange(len(words), dtype=np.uint64) + U64(band << 40)
-        out.append(mix(words + mix(place)))
+    if len(hashes):
+        words, elements = sketch(hashes, bands.words(band))
+        found = mix(words + mix(np.arange(len(words), dtype=np.uint64) + U64(band << 40)))
+        weak = elements < 2 + np.searchsorted(HEAVIER, len(words), "right")
+        out.append(found[~weak])
+        if len(words) < LONG and weak.any():
+            other, _ = sketch(np.sort(mix(hashes + U64(0x5851F42D4C957F2D))), bands.differing[band] + 1)
+            other = mix(other + mix(np.arange(len(other), dtype=np.uint64) + U64(1 << 56)))
+            out.append(mix(found[weak][:, None] + other[None, :]).ravel())
     return np.concatenate(out)
 
 
@@ -103,89 +134,111 @@ def sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def sketch_words(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """``key, doc_id`` for each sketch word; of equal sets in a task only the first is given."""
+    """``key, band, doc_id`` for each sketch word; of equal sets in a task only the first is given."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for some in slices(batches):
-            names, values = [], []
+            rows = []
             for name, found in zip(some.column("doc_id").to_pylist(), shingles(some.column("text"), width), strict=True):
                 if name is None or len(found) == 0:
                     continue
                 digest = hashlib.blake2b(found.data, digest_size=16).digest()
-                if digest in seen:
-                    continue
-                seen.add(digest)
-                names.append(name)
-                values.append(keys(found, bands))
-            counts = [len(v) for v in values]
+                if digest not in seen:
+                    seen.add(digest)
+                    rows += [(name, band, keys(found, bands, band)) for band in bands.of(len(found))]
+            counts = [len(k) for _, _, k in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), counts))],
-                names=["key", "doc_id"],
+                [
+                    pa.array(np.concatenate([np.zeros(0, np.uint64), *(k for _, _, k in rows)]).view(np.int64)),
+                    pa.array(np.repeat(np.array([b for _, b, _ in rows], np.int32), counts)),
+                    pa.array(np.repeat(np.array([n for n, _, _ in rows], np.int64), counts)),
+                ],
+                names=["key", "band", "doc_id"],
             )
 
-    return docs.mapInArrow(work, "key bigint, doc_id bigint")
+    return docs.mapInArrow(work, "key bigint, band int, doc_id bigint")
 
 
 def shared_words(words: DataFrame) -> DataFrame:
-    """The rows of ``key, doc_id`` whose key some other document has too."""
+    """The rows of ``key, band, doc_id`` whose key some other document has too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by key and id; the row before, and whether it is still to be given
-        key = name = None
-        waiting = False
+        # rows come sorted by key and id; the last row of a batch waits for the next one
+        rest, given = None, False
         for some in batches:
-            k, d = some.column("key").to_numpy(), some.column("doc_id").to_numpy()
-            if len(k) == 0:
+            rows = [some.column(c).to_numpy() for c in ("key", "band", "doc_id")]
+            if len(rows[0]) == 0:
                 continue
-            if key is not None:
-                k, d = np.concatenate([[key], k]), np.concatenate([[name], d])
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-            start = 0 if key is not None else -1
-            k, d = k[new], d[new]
-            twin = np.zeros(len(k), bool)
-            twin[1:] = k[1:] == k[:-1]
+            if rest is not None:
+                rows = [np.concatenate([[r], x]) for r, x in zip(rest, rows, strict=True)]
+            key, _, name = rows
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            key, band, name = (x[new] for x in rows)
+            twin = np.zeros(len(key), bool)
+            twin[1:] = key[1:] == key[:-1]
             give = twin.copy()
             give[:-1] |= twin[1:]
-            if start == 0 and not waiting:
-                give[0] = False
-            last_given = bool(give[-1]) or (len(k) == 1 and start == 0 and not waiting)
-            key, name, waiting = k[-1], d[-1], not last_given
-            yield pa.RecordBatch.from_arrays([pa.array(k[give]), pa.array(d[give])], names=["key", "doc_id"])
+            if given:
+                give[0] = False  # was given with the batch before
+            given = bool(give[-1]) or (given and len(key) == 1)
+            rest = [x[-1] for x in (key, band, name)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[give]), pa.array(band[give].astype(np.int32)), pa.array(name[give])], names=["key", "band", "doc_id"])
 
-    return words.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(work, "key bigint, doc_id bigint")
+    return words.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(work, "key bigint, band int, doc_id bigint")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles``: the sorted distinct hashes as bytes."""
+def sketches(texts: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """``doc_id, band, n, sketch`` of each band that a document enters."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
-            found = [x.tobytes() for x in shingles(some.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            rows = []
+            for name, found in zip(some.column("doc_id").to_pylist(), shingles(some.column("text"), width), strict=True):
+                rows += [(name, b, len(found), sketch(found, bands.words(b))[0].tobytes()) for b in (bands.of(len(found)) if len(found) else [])]
+            names, types = ["doc_id", "band", "n", "sketch"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.mapInArrow(work, "doc_id bigint, shingles binary")
+    return texts.mapInArrow(work, "doc_id bigint, band int, n bigint, sketch binary")
 
 
-def verified(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """The ``a, b`` pairs whose sets meet the similarity."""
+def near(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The ``a, b, band`` pairs whose sketches differ in no more bits than similar sets of their sizes may."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
+            n = some.column("na").to_numpy() + some.column("nb").to_numpy()
+            most = (n * (den - num) // (den + num)).tolist()
             keep = np.zeros(some.num_rows, bool)
             for i, (x, y) in enumerate(zip(some.column("sa"), some.column("sb"), strict=True)):
                 u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if min(len(u), len(v)) * den < max(len(u), len(v)) * num:
-                    continue
+                keep[i] = int(np.bitwise_count(u ^ v).sum()) <= most[i]
+            yield pa.RecordBatch.from_arrays([some.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    left = known.select(F.col("doc_id").alias("a"), "band", F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = known.select(F.col("doc_id").alias("b"), "band", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, ["a", "band"]).join(right, ["b", "band"])
+    close = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    return both.where(close).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The ``a, b`` pairs whose whole sets meet the similarity."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, "ta"):
+            keep = np.zeros(some.num_rows, bool)
+            for i, (u, v) in enumerate(zip(shingles(some.column("ta"), width), shingles(some.column("tb"), width), strict=True)):
                 both = np.sort(np.concatenate([u, v]))
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep[i] = common * den >= (len(u) + len(v) - common) * num
             yield pa.RecordBatch.from_arrays([some.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
-    left = known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a bigint, b bigint").distinct()
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
 def representatives(found: DataFrame) -> DataFrame:
@@ -199,59 +252,63 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(docs: DataFrame, found: DataFrame, width: int, num: int, den: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs of representatives that join their components, and ``node, root`` of the linked ones."""
+#: Up to this number the ids of documents with candidates are broadcast (16 MB) to pick their texts.
+BROADCAST_ROWS = 2_000_000
+
+
+def links(docs: DataFrame, found: DataFrame, width: int, num: int, den: int, rounds: int = 2) -> DataFrame:
+    """``node, root`` of the representatives that have a link: the components of all verified pairs."""
     bands = Bands(num, den)
     reps = table(representatives(found), "reps")
     shared = table(shared_words(sketch_words(docs, width, bands)), "shared")
-    members = shared.join(reps, "doc_id").select("key", F.col("rep").alias("node"), "n_shingles").distinct()
+    members = shared.join(reps.select("doc_id", F.col("rep").alias("node")), "doc_id").select("key", "band", "node").distinct()
     spread = members.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi")
     buckets = table(members.join(spread.select("key"), "key"), "buckets")
-    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    known = table(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width), "sets")
+    wanted = table(buckets.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    texts = table(docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id", "left_semi"), "texts")
+    known = table(sketches(texts, width, bands), "sketches")
 
     # an id that comes with several sets ties their classes together
     least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
     linked = reps.join(least, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    label = None
+    label: DataFrame | None = None
     tried: DataFrame | None = None
-    close = F.least("n_shingles", "_n") * den >= F.greatest("n_shingles", "_n") * num
     step = -1
     while step < rounds:
         step += 1
         if label is None:
             open_ = buckets.withColumn("root", F.col("node"))
         else:
-            named = buckets.join(label.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            named = buckets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
             apart = named.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
             open_ = table(named.join(apart.select("key"), "key"), "open")
         if step < rounds:
-            head = open_.groupBy("key").agg(F.min_by(F.struct("node", "root", "n_shingles"), F.struct("root", "node")).alias("_h"))
-            near = open_.join(head, "key").withColumn("_n", F.col("_h.n_shingles")).where((F.col("root") != F.col("_h.root")) & close)
-            pairs = near.select(*_ordered("node", "_h.node"), "node")
+            head = open_.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.struct("root", "node")).alias("_h"))
+            pairs = open_.join(head, "key").where(F.col("root") != F.col("_h.root")).select(*_ordered("node", "_h.node"), "node", "band")
+            pairs = pairs.groupBy("node", "a", "b").agg(F.count("*").alias("_c"), F.min("band").alias("band"))
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            shared_most = pairs.groupBy("node", "a", "b").agg(F.count("*").alias("_c"))
-            pairs = shared_most.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("_c", "a", "b")).alias("_p")).select("_p.a", "_p.b").distinct()
+            most = F.max_by(F.struct("a", "b", "band"), F.struct("_c", "a", "b")).alias("_p")
+            pairs = pairs.groupBy("node").agg(most).select("_p.a", "_p.b", "_p.band").distinct()
         else:
-            other = open_.select("key", F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("n_shingles").alias("_n"))
+            other = open_.select("key", F.col("node").alias("_node"), F.col("root").alias("_root"))
             pairs = (
                 open_.join(other, "key")
-                .where((F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")) & close)
-                .select(F.col("node").alias("a"), F.col("_node").alias("b"))
-                .distinct()
+                .where((F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")))
+                .groupBy(F.col("node").alias("a"), F.col("_node").alias("b"))
+                .agg(F.min("band").alias("band"))
             )
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
-        if step < rounds and pairs.isEmpty():
-            step = rounds - 1  # go on with all that is left
+        if pairs.isEmpty():
+            if step < rounds:
+                step = rounds - 1  # go on with all that is left
             continue
-        tried = pairs if tried is None else tried.union(pairs)
-        new = table(verified(pairs, known, num, den), "links")
-        linked = linked.union(new)
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        linked = linked.union(table(verified(near(pairs, known, num, den), texts, width, num, den), "links"))
         label = table(components(linked), "labels")
-    return linked, label
+    return table(components(linked), "labels") if label is None else label
 
 
 def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,7 +323,7 @@ def grouped(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc_
     """
     docs = prepared(docs, doc_id, text)
     found = table(sets(docs, width), "shingle-sets")
-    _, label = links(docs, found, width, num, den)
+    label = links(docs, found, width, num, den)
     reps = representatives(found).groupBy("doc_id").agg(F.min("rep").alias("rep"))
     named = reps.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         F.col("doc_id").alias("_id"), "rep", F.coalesce("root", "rep").alias("_component")
