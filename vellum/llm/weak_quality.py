@@ -141,16 +141,18 @@ class LabelModel:
         good = np.where(patterns == 0, self.prior, np.where((says == 2).any(1), 0.05, 0.95))
         self.chance = np.full((2, LABELLERS, 3), 1 / 2)
         for _ in range(rounds if counts.sum() else 0):
-            for k, weight in ((1, good), (0, 1 - good)):
+            # each pattern goes to the likelier side, which keeps the many kinds of bad texts on one
+            side = good > 0.5
+            for k in (0, 1):
                 for vote in range(3):
-                    self.chance[k, :, vote] = ((says == vote) * (weight * counts)[:, None]).sum(0) + 1.0
+                    self.chance[k, :, vote] = ((says == vote) * ((side == k) * counts)[:, None]).sum(0) + 1.0
             # to abstain, as on short texts, tells nothing
             self.chance[:, :, 1:] /= self.chance[:, :, 1:].sum(2, keepdims=True)
             self.chance[:, :, 0] = 1.0
             for k, (low, high) in enumerate(BAD_VOTES):
                 self.chance[k, :, 2] = np.clip(self.chance[k, :, 2], low, high)
                 self.chance[k, :, 1] = 1 - self.chance[k, :, 2]
-            self.prior = float(np.clip((good * counts).sum() / counts.sum(), 0.7, 0.98))
+            self.prior = float(np.clip((side * counts).sum() / counts.sum(), 0.5, 0.98))
             new = self.posterior(patterns)
             if np.abs(new - good).max() < 1e-9:
                 break
