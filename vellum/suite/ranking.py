@@ -285,7 +285,8 @@ top as (select 100000 + query_id as query_id, paper_id from (select query_id, pa
   union all select 100000 + query_id, paper_id from (select query_id, f.paper_id, row_number() over (partition by query_id order by round(0.2 * recency + 0.1 * centrality, 9) desc, f.paper_id) as r
     from queries q, papers p join pfeat f using (paper_id) where query_id not in (select query_id from pand)
     and (contains(lower(p.title), lower(q.text)) or contains(lower(p.one_line), lower(q.text)) or contains(lower(to_json(p.keywords)::varchar), lower(q.text)))) where r = 1)
-select query_id, paper_id, stage from ex union all select query_id, paper_id, 3 from top""")
+select query_id, paper_id, stage from ex union all select query_id, paper_id, 3 from top
+union all select query_id, (select paper_id from pfeat order by round(0.2 * recency + 0.1 * centrality, 9) desc, paper_id limit 1), 3 from q where text is null""")
 def resolve_citation_query(spark, sf):
     p = v.papers(spark, sf)
     i = F.col("doc_id")
