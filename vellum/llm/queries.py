@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellum.llm import fingerprints, html_text, jaccard_join, mixing, packing, quality_rules, sharding, token_files, toxicity, weak_quality
+from vellum.llm import fingerprints, html_text, jaccard_join, mixing, oracles, packing, quality_rules, sharding, token_files, toxicity, weak_quality
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,4 +80,8 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": oracles.JACCARD_JOIN,
+    "op2_mixing": oracles.MIXING,
+    "op10_quality_rules": oracles.QUALITY_RULES,
+}
