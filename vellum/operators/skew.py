@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import let
+from vellum.session import written
 
 RANGE_WIDTH = 1 << 20
 
@@ -78,6 +79,7 @@ def substring_pairs(
     """
     p = patterns.select(F.col(pattern).alias("pattern")).where(F.length("pattern") > 0).distinct()
     t = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    named = t.select(F.xxhash64("text").alias("_id"), "text")  # equal names only add candidates
 
     def pieces(low: Column, width: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(low) - width + 1), lambda i: F.substring(low, i, width))
@@ -89,8 +91,12 @@ def substring_pairs(
 
     p_pieces = let(F.lower("pattern"), lambda low: pieces(low, F.least(F.lit(grams), F.length(low))))
     p_grams = p.select("pattern", F.explode(F.array_distinct(p_pieces)).alias("gram"))
-    t_grams = t.select("text", F.explode(let(F.lower("text"), all_pieces)).alias("gram")).join(
-        p_grams.select("gram").distinct(), "gram", "left_semi"
+    # rows of grams carry the name of their text, not the text
+    t_grams = written(
+        named.select("_id", F.explode(let(F.lower("text"), all_pieces)).alias("gram")).join(
+            p_grams.select("gram").distinct(), "gram", "left_semi"
+        ),
+        "grams",
     )
     spread = t_grams.groupBy("gram").agg(F.count("*").alias("n_texts"))
     rarest = (
@@ -100,6 +106,9 @@ def substring_pairs(
     )
     return (
         t_grams.join(rarest, "gram")
+        .select("_id", "pattern")
+        .join(named, "_id")
         .where(F.instr(F.lower("text"), F.lower("pattern")) > 0)
         .select("pattern", "text")
+        .distinct()
     )

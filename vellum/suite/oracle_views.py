@@ -14,7 +14,7 @@ select doc_id, domain, year, title, one_line, venue, method_tags, domain_tags, k
 from (select *, row_number() over (partition by domain, coalesce(year,0) order by doc_id) as rn from (
   select doc_id, upper(lang) as domain,
     case when doc_id % 37 <> 0 then cast(1995 + doc_id % 31 as integer) end as year,
-    left(split_part(text, chr(10), 1), 80) as title, left(text, 200) as one_line, source as venue,
+    split_part(text, chr(10), 1) as title, split_part(text, chr(10), 1) as one_line, source as venue,
     ['M' || (doc_id % 7)] as method_tags, [lang] as domain_tags, [source, lang] as keywords,
     case when doc_id % 11 <> 0 then '10.1000/' || doc_id end as doi,
     'Author' || chr(cast(65 + doc_id % 26 as integer)) as first_author, 'K' || doc_id as citation_key,
@@ -42,11 +42,11 @@ select item_id as claim_no, text as claim,
   ['definition','methodological','quantitative','comparative','causal','limitation','conclusion','rumour'][item_id % 8 + 1] as claim_type,
   ['A','B','C','D'][item_id % 4 + 1] as strength from benchmark""",
     "paper_claims": """
-select paper_id || '.cl001' as claim_id, paper_id, source_text as claim, ['A','B','C','D'][doc_id % 4 + 1] as strength
-from evidence where paragraph_index = 1""",
+select paper_id || '.cl' || lpad(paragraph_index::varchar, 3, '0') as claim_id, paper_id, source_text as claim, ['A','B','C','D'][doc_id % 4 + 1] as strength
+from evidence""",
     "queries": """
 select item_id as query_id,
-  array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')[1:3], ' ') as text,
+  array_to_string(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+'), ' ') as text,
   ['DISCOVERY','CITATION','TECHNICAL','RESULT','FORMULA','VERIFICATION','COMPARISON'][item_id % 7 + 1] as intent,
   case when item_id % 3 = 0 then 2005 end as year_from, cast(null as integer) as year_to,
   case when item_id % 2 = 0 then ['en','fr','de','es'][item_id % 4 + 1] end as domain,
@@ -106,13 +106,13 @@ from qterm join ppost using (term) join pidf using (term) join pdl using (paper_
     "pand": """
 select query_id, paper_id, score from phit join (select query_id, count(*) as nt from qterm group by query_id) using (query_id) where m = nt""",
     "cards": """
-select paper_id, left(one_line, 120) as abstract, case when doc_id % 2 = 1 then 'Idea ' || title else '' end as main_idea,
+select paper_id, one_line as abstract, case when doc_id % 2 = 1 then 'Idea ' || title else '' end as main_idea,
   case when doc_id % 3 <> 0 then 'Method ' || venue end as method_summary from papers""",
     "comparisons": """
-select doc_id, 'C-' || l_orderkey || '-' || l_partkey || '-' || l_suppkey as comparison_id, 'quantity' as metric,
+select doc_id, 'C-' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber as comparison_id, 'quantity' as metric,
   l_linestatus as baseline, l_returnflag as proposed, cast(l_discount as varchar) || 'x' as improvement,
   ['comparable','partially_comparable','not_comparable','bogus'][l_suppkey % 4 + 1] as comparison_validity, paper_id
-from lineitem, ndocs, papers where papers.doc_id = l_orderkey % n and l_linenumber = 1""",
+from lineitem, ndocs, papers where papers.doc_id = l_orderkey % n""",
     "formulas": """
 select doc_id, 'F' || p_partkey as formula_id, p_name as formula_latex, p_type || ' ' || p_brand as semantic_description,
   ['objective','loss','forward_model','constraint','regularization','metric','physical_model','evaluation','network','update_rule','bogus'][p_size % 11 + 1] as formula_role,

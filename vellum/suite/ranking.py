@@ -117,7 +117,7 @@ def alias_map(spark, sf):
 
 
 @query(f"""{_ALIASES}, q as (select conv_id * 1000 + turn as query_id,
-   left(text, 40) || case when turn % 3 = 0 then ' ASIA and nation_' || (conv_id % 25) when turn % 3 = 1 then ' Nation ' || (turn % 25) else '' end as text from conversations)
+   text || case when turn % 3 = 0 then ' ASIA and nation_' || (conv_id % 25) when turn % 3 = 1 then ' Nation ' || (turn % 25) else '' end as text from conversations)
 select query_id, coalesce((select array_to_string(list_sort(list_distinct(flatten(list(terms)))), '|') from am where contains(lower(q.text), alias)), '') as expansions from q""")
 def expand_queries(spark, sf):
     c = v.table(spark, sf, "conversations")
@@ -125,7 +125,7 @@ def expand_queries(spark, sf):
     tail = F.when(t % 3 == 0, F.concat(F.lit(" ASIA and nation_"), (F.col("conv_id") % 25).cast("string"))).when(
         t % 3 == 1, F.concat(F.lit(" Nation "), (t % 25).cast("string"))
     ).otherwise("")
-    q = c.select((F.col("conv_id") * 1000 + t).alias("query_id"), F.concat(F.substring("text", 1, 40), tail).alias("text"))
+    q = c.select((F.col("conv_id") * 1000 + t).alias("query_id"), F.concat("text", tail).alias("text"))
     out = rk.expand_queries(q, rk.alias_map(v.concepts(spark, sf)))
     return out.select("query_id", F.array_join("expansions", "|").alias("expansions"))
 
@@ -276,7 +276,7 @@ def cut_to_budget(spark, sf):
     return ly.cut_to_budget(items).select("query_id", "paper_id", "token_cost", "budget", "truncated")
 
 
-@query("""with q as (select doc_id as query_id, case doc_id % 3 when 0 then citation_key when 1 then doi else paper_id end as text from papers where doc_id % 4 < 3
+@query("""with q as (select doc_id as query_id, case doc_id % 3 when 0 then citation_key when 1 then doi else paper_id end as text from papers
   union all select 100000 + query_id, text from queries),
 ex as (select query_id, p.paper_id, case when text = citation_key then 0 when text = doi then 1 else 2 end as stage from q join papers p on text = citation_key or text = doi or text = p.paper_id),
 top as (select 100000 + query_id as query_id, paper_id from (select query_id, paper_id, row_number() over (partition by query_id order by relevance desc, paper_id) as r from (
@@ -290,7 +290,7 @@ union all select query_id, (select paper_id from pfeat order by round(0.2 * rece
 def resolve_citation_query(spark, sf):
     p = v.papers(spark, sf)
     i = F.col("doc_id")
-    known = p.where(i % 4 < 3).select(
+    known = p.select(
         i.alias("query_id"), F.when(i % 3 == 0, F.col("citation_key")).when(i % 3 == 1, F.col("doi")).otherwise(F.col("paper_id")).alias("text")
     )
     free = v.queries(spark, sf).select((F.col("query_id") + 100000).alias("query_id"), "text")
@@ -326,14 +326,14 @@ def evidence_ids(spark, sf):
     return _lists(ly.evidence_ids(v.evidence(spark, sf)))
 
 
-@query("select c.*, title from cards c join papers p using (paper_id) where doc_id % 3 = 1")
+@query("select c.*, title from cards c join papers p using (paper_id)")
 def paper_cards_read(spark, sf):
-    ids = v.papers(spark, sf).where("doc_id % 3 = 1").select("paper_id")
+    ids = v.papers(spark, sf).select("paper_id")
     return ly.cards(ids, v.corpus(spark, sf))
 
 
 @query("""select metric_id, paper_id, case when name = 'tax' then 'same country' end as comparability_rules, case when name = 'quantity' then 'mixed units' end as common_pitfalls
-from paper_metrics where doc_id % 20 = 3 and name in ('tax', 'quantity', 'discount')""")
+from paper_metrics where name in ('tax', 'quantity', 'discount')""")
 def structured_results(spark, sf):
     p = v.papers(spark, sf)
     c = v.corpus(spark, sf)
@@ -345,7 +345,7 @@ def structured_results(spark, sf):
     )
     names = onto.where("metric_name <> 'extendedprice'").select(F.col("metric_name").alias("name"))
     corpus = ly.Corpus(c.papers, c.edges, metrics=c.metrics, ontology=onto)
-    out = ly.structured(p.where("doc_id % 20 = 3").select("paper_id"), corpus, names)
+    out = ly.structured(p.select("paper_id"), corpus, names)
     return out.select("metric_id", "paper_id", "comparability_rules", "common_pitfalls")
 
 

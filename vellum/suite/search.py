@@ -161,12 +161,12 @@ def minmax_positive_scores(spark, sf):
 
 @query("""with q as (select conv_id * 1000 + turn as query_id, role from conversations), t as (
   select query_id, term from (select conv_id * 1000 + turn as query_id,
-    list_filter(regexp_extract_all(case when turn % 2 = 0 then '? !' else left(text, 12) end, '[A-Za-z0-9]+'), lambda x: length(x) > 1) as term from conversations))
+    list_filter(regexp_extract_all(case when turn % 2 = 0 then '? !' else text end, '[A-Za-z0-9]+'), lambda x: length(x) > 1) as term from conversations))
 select query_id, cast(coalesce(len(term), 0) as bigint) as n_terms from q join t using (query_id)""")
 def empty_queries(spark, sf):
     """Queries without usable tokens stay in the answer with zero terms."""
     c = v.table(spark, sf, "conversations")
-    body = F.when(F.col("turn") % 2 == 0, F.lit("? !")).otherwise(F.substring("text", 1, 12))
+    body = F.when(F.col("turn") % 2 == 0, F.lit("? !")).otherwise(F.col("text"))
     q = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), body.alias("text"))
     n = lx.query_terms(q, tokens=tx.query_tokens(F.col("text"))).groupBy("query_id").agg(F.sum("qtf").alias("n"))
     return q.join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_terms"))
@@ -188,10 +188,10 @@ def cosine_neighbours(spark, sf):
 @query("""select * from (select query_id, paper_id, object_id, round(score, 6) as score,
     row_number() over (partition by query_id order by score desc, paper_id, object_id) as rank from (
   select q.vec_id as query_id, e.paper_id, e.object_id, round(list_cosine_similarity(q.vector::double[], e.vector::double[]), 9) as score
-  from vectors q join vectors e using (object_type) where q.vec_id % 50 = 0)) where rank <= 10""")
+  from vectors q join vectors e using (object_type) where q.vec_id % 100 = 0)) where rank <= 10""")
 def vector_search(spark, sf):
     e = v.vectors(spark, sf)
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "object_type", F.col("vector").alias("query_vector"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "object_type", F.col("vector").alias("query_vector"))
     return _six(vc.vector_topk(q, e, 10), "score")
 
 

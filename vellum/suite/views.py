@@ -46,8 +46,8 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id",
         F.upper("lang").alias("domain"),
         F.when(i % 37 != 0, (F.lit(1995) + i % 31).cast("int")).alias("year"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
-        F.substring("text", 1, 200).alias("one_line_description"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.substring_index("text", "\n", 1).alias("one_line_description"),
         F.col("source").alias("venue"),
         F.array(F.concat(F.lit("M"), (i % 7).cast("string"))).alias("method_tags"),
         F.array(F.col("lang")).alias("domain_tags"),
@@ -166,11 +166,11 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
 
 @_once
 def paper_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """First evidence line of every paper as a stored claim."""
-    e = evidence(spark, sf).where("paragraph_index = 1")
+    """Every evidence line as a stored claim."""
+    e = evidence(spark, sf)
     strength = F.element_at(tx.strings(vocab.STRENGTHS), (F.col("doc_id") % 4 + 1).cast("int"))
     return e.select(
-        ky.sub_id(F.col("paper_id"), "claim", F.lit(1)).alias("claim_id"),
+        ky.sub_id(F.col("paper_id"), "claim", F.col("paragraph_index")).alias("claim_id"),
         "paper_id",
         F.col("source_text").alias("claim"),
         strength.alias("strength"),
@@ -179,14 +179,14 @@ def paper_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 @_once
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    """First three tokens of each benchmark text with filters and an intent by number."""
+    """The tokens of each benchmark text with filters and an intent by number."""
     b = table(spark, sf, "benchmark")
     i = F.col("item_id")
     intents = tx.strings([r[0] for r in vocab.ROUTES])
     langs = tx.strings(("en", "fr", "de", "es"))
     return b.select(
         i.alias("query_id"),
-        F.array_join(F.slice(tx.index_tokens(F.col("text")), 1, 3), " ").alias("text"),
+        F.array_join(tx.index_tokens(F.col("text")), " ").alias("text"),
         F.element_at(intents, (i % 7 + 1).cast("int")).alias("intent"),
         F.when(i % 3 == 0, F.lit(2005)).alias("year_from"),
         F.lit(None).cast("int").alias("year_to"),
@@ -323,7 +323,7 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
     return p.select(
         "paper_id",
-        F.substring("one_line_description", 1, 120).alias("abstract"),
+        F.col("one_line_description").alias("abstract"),
         F.when(i % 2 == 1, F.concat(F.lit("Idea "), F.col("title"))).otherwise("").alias("main_idea"),
         F.when(i % 3 != 0, F.concat(F.lit("Method "), F.col("venue"))).alias("method_summary"),
     )
@@ -331,12 +331,12 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
 
 @_once
 def comparisons(spark: SparkSession, sf: str) -> DataFrame:
-    """First line of every order as a comparison row."""
+    """Every line item as a comparison row."""
     n = n_documents(spark, sf)
     validity = tx.strings((*vocab.COMPARISON_VALIDITY, "bogus"))
-    c = table(spark, sf, "lineitem").where("l_linenumber = 1").select(
+    c = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") % n).alias("doc_id"),
-        F.concat_ws("-", F.lit("C"), "l_orderkey", "l_partkey", "l_suppkey").alias("comparison_id"),
+        F.concat_ws("-", F.lit("C"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("comparison_id"),
         F.lit("quantity").alias("metric"),
         F.col("l_linestatus").alias("baseline"),
         F.col("l_returnflag").alias("proposed"),
