@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one step inside a Python task works on; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         yield batch.slice(start)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Let Python tasks get at most so many rows at a time, where rows are wide; the setting before comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def replaced(df: DataFrame, added: list[str]) -> DataFrame:
     """Drop the columns that an operator is about to add, so that its own win over clashing ones."""
     low = {c.lower() for c in added}

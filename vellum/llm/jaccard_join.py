@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import slices, table
+from vellum.llm.common import slices, small_batches, table
 from vellum.llm.graph import components
 from vellum.llm.kernels import mix, shingles
 
@@ -323,7 +323,8 @@ def grouped(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc_
     """
     docs = prepared(docs, doc_id, text)
     found = table(sets(docs, width), "shingle-sets")
-    label = links(docs, found, width, num, den)
+    with small_batches(docs.sparkSession, 500):
+        label = links(docs, found, width, num, den)
     reps = representatives(found).groupBy("doc_id").agg(F.min("rep").alias("rep"))
     named = reps.join(label.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         F.col("doc_id").alias("_id"), "rep", F.coalesce("root", "rep").alias("_component")
