@@ -14,22 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import jaccard_join, mixing, packing, toxicity, weak_quality
-from vellum.llm.common import documents, judged_rows, table
+from vellum.llm.common import bounded_batches, documents, judged_rows, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly trained classifier takes for good."""
+    bounded_batches(spark)
     return judged_rows(docs, weak_quality.classified, F.col("kept"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models don't take for toxic."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judged_rows(docs, lambda d: toxicity.classified(d, labels), F.col("predicted") == 0)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    bounded_batches(spark)
     return jaccard_join.deduplicated(docs, width=5, num=80, den=100)
 
 
@@ -40,6 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

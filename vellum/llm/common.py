@@ -82,6 +82,13 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on give Python tasks at most so many rows at a time, which bounds what a batch of long texts takes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def replaced(df: DataFrame, added: list[str]) -> DataFrame:
     """Drop the columns that an operator is about to add, so that its own win over clashing ones."""
     low = {c.lower() for c in added}

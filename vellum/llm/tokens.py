@@ -30,7 +30,7 @@ def default_path() -> str:
 class Encoder:
     """Encodes columns of texts; ``most`` bounds the pieces kept between columns."""
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
