@@ -164,6 +164,23 @@ def test_toxicity_learns_and_scores(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_every_word_and_pair_has_counts_of_its_own(spark):
+    """More words than the 2**18 places that counts once shared: each is told apart, none is added to another."""
+    n = 300_000
+    rows = [(" ".join(f"v{k}" for k in range(i, i + 1000)), i // 1000 % 2) for i in range(0, n, 1000)]
+    rows += [("left again here", 0), ("right again here", 1), ("right again here", 1)]
+    docs = spark.createDataFrame(rows, "text string, toxic int").repartition(4)
+    got = {(r.kind, r.code): (r.c0, r.c1, r.n0, r.n1) for r in toxicity.counts_of(docs).collect()}
+    names = pa.array([f"v{i}" for i in range(n)] + ["again", "here"])
+    codes = toxicity.word_codes(names)[0]
+    assert len(set(codes.tolist())) >= n - 50  # codes of 32 bits
+    alone = [got[1, c] == (i // 1000 % 2 == 0, i // 1000 % 2, i // 1000 % 2 == 0, i // 1000 % 2) for i, c in enumerate(codes[:n].tolist())]
+    assert sum(alone) >= n - 100
+    again, here = codes[n:].tolist()
+    assert got[1, again] == (1, 1, 1, 1) and got[1, here] == (1, 1, 1, 1)
+    assert [(c, x) for (k, c), x in got.items() if k == 0] == [(again << 32 | here if again < 1 << 31 else (again << 32 | here) - (1 << 64), (1, 1, 1, 1))]
+
+
 def test_toxicity_of_odd_rows(spark, odd, none, small):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (9, 0), (8, 1), (8, 0)], "doc_id bigint, toxic int")
     got = toxicity.classified(odd, labels)

@@ -30,10 +30,13 @@ logistic curve over the difference per square root of the words (the unit in whi
 chance differences do not grow with the length) turns it into 0 to 1. The curve is fitted with each text taken out of the counts
 before it is judged.
 
-Counts come from all labelled rows that may be learnt from. They are kept in
-hashed tables of fixed size (``PAIR_BITS``, ``WORD_BITS``), the only thing that is
-broadcast. A pair seen after one word only backs off wholly, so it needs no place.
-The curve is fitted on at most ``FIT_ROWS`` labelled rows, taken by hash of the id.
+Counts come from all labelled rows that may be learnt from. They are a Spark table
+with one row for each word and each pair, keyed by whole codes (32 bits a word, 64 a
+pair), which grows with the input; a pair's row also has its word's counts. A pair seen
+after one word only backs off wholly, so it needs no row. Broadcast to the documents are
+the log-ratios that pruning leaves: those of words, and those of pairs that differ from
+their word's. The curve is fitted on at most ``FIT_ROWS`` labelled rows, taken by hash of
+the id, with the counts of what these rows hold.
 
 Defined cases: a null text is an empty one; an empty text scores as one without
 any evidence; an id with several labels is toxic if one of them is; labels that
@@ -52,12 +55,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import replaced, slices
+from vellum.llm.common import replaced, slices, table
 from vellum.llm.kernels import mix, span_hashes, text_bytes, word_spans
 
 U64 = np.uint64
-PAIR_BITS = 21
-WORD_BITS = 18
 DISCOUNT = 0.75
 PRIOR = 30.0
 #: Log-ratio up to which an expression is left to the shared model.
@@ -69,7 +70,8 @@ FIT_ROWS = 20_000
 BROADCAST_ROWS = 1_000_000
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
-COUNTS = "kind int, place bigint, c0 double, c1 double"
+PARTS = "word int, before int, kind int, c0 int, c1 int"
+COUNTS = "kind int, code bigint, c0 int, c1 int, n0 int, n1 int"
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -98,14 +100,6 @@ def pairs(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (before << U64(32)) | codes
 
 
-def _pair_place(pair: np.ndarray) -> np.ndarray:
-    return (mix(pair) >> U64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def _word_place(code: np.ndarray) -> np.ndarray:
-    return (mix(code) >> U64(64 - WORD_BITS)).astype(np.int64)
-
-
 def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct runs of three words ``u, v, w`` by class: ``pair`` is v and w, ``tail`` 28 bits of u and the class.
 
@@ -134,38 +128,61 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come sorted by a key, cut so that rows of one key stay together."""
+    rest: list[np.ndarray] | None = None
+    for some in batches:
+        if some.num_rows == 0:
+            continue
+        at = some.schema.names.index(key)
+        columns = [x.to_numpy() for x in some.columns]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        cut = int(np.searchsorted(columns[at], columns[at][-1]))  # the last key may go on
+        if cut:
+            yield [x[:cut] for x in columns]
+        rest = [x[cut:] for x in columns]
+    if rest is not None:
+        yield rest
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the tables (0: pairs after two words or more, 1: words) from triples that come sorted."""
-    rest: tuple[np.ndarray, np.ndarray] | None = None
+    """Counts (0: pairs after two words or more, 1: words, to be added up) from triples that come sorted."""
 
-    def out(kind: int, place: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
-        at, which = np.unique(place, return_inverse=True)
-        sums = [np.bincount(which, x, len(at)) for x in values]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), *map(pa.array, sums)], names=["kind", "place", "c0", "c1"])
+    def out(kind: int, word: np.ndarray, before: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [word.astype(np.uint32).view(np.int32), before.astype(np.uint32).view(np.int32), np.full(len(word), kind, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in [*columns, *(c.astype(np.int32) for c in counts)]], names=["word", "before", "kind", "c0", "c1"])
 
-    def tables(pair: np.ndarray, tail: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for pair, tail in _runs(batches, "pair"):
         new = np.append(True, (pair[1:] != pair[:-1]) | (tail[1:] != tail[:-1]))
         pair, toxic = pair[new], tail[new] & 1
         start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        c1 = np.add.reduceat(toxic, start).astype(float)
+        c1 = np.add.reduceat(toxic, start)
         c0 = np.diff(np.append(start, len(pair))) - c1
         pair, often = pair[start].view(np.uint64), c0 + c1 > 1
+        word, before = pair & U64(0xFFFFFFFF), pair >> U64(32)
         if often.any():
-            yield out(0, _pair_place(pair[often]), [c0[often], c1[often]])
-        yield out(1, _word_place(pair & U64(0xFFFFFFFF)), [(c0 > 0) * 1.0, (c1 > 0) * 1.0])
-
-    for some in batches:
-        pair, tail = some.column("pair").to_numpy(), some.column("tail").to_numpy()
-        if rest is not None:
-            pair, tail = np.concatenate([rest[0], pair]), np.concatenate([rest[1], tail])
-        if len(pair) == 0:
-            continue
-        cut = int(np.searchsorted(pair, pair[-1]))  # the last pair may go on
-        if cut:
-            yield from tables(pair[:cut], tail[:cut])
-        rest = pair[cut:], tail[cut:]
-    if rest is not None and len(rest[0]):
-        yield from tables(*rest)
+            yield out(0, word[often], before[often], [c0[often], c1[often]])
+        at, which = np.unique(word, return_inverse=True)
+        yield out(1, at, np.zeros(len(at)), [np.bincount(which, x > 0, len(at)) for x in (c0, c1)])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each word and pair, with the counts of its word, from rows of ``PARTS`` that come sorted by word."""
+    for word, before, kind, c0, c1 in _runs(batches, "word"):
+        at, which = np.unique(word, return_inverse=True)
+        n = [np.bincount(which, c * (kind == 1), len(at)).astype(np.int32) for c in (c0, c1)]
+        pair = kind == 0
+        low, high = (x.view(np.uint32).astype(np.uint64) for x in (word[pair], before[pair]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(np.array([0, 1], np.int32), [len(low), len(at)])),
+                pa.array(np.concatenate([(high << U64(32)) | low, at.view(np.uint32).astype(np.uint64)]).view(np.int64)),
+                *[pa.array(np.concatenate([c[pair], m])) for c, m in zip((c0, c1), n, strict=True)],
+                *[pa.array(np.concatenate([m[which[pair]], m])) for m in n],
+            ],
+            names=["kind", "code", "c0", "c1", "n0", "n1"],
+        )
 
 
 def _share(own: list[np.ndarray], backoff: np.ndarray) -> np.ndarray:
@@ -179,51 +196,65 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.log2(n + 1).astype(np.int64)
 
 
-@dataclass
-class Models:
-    """Both models as hashed tables: pair counts and continuation counts by class."""
+class Table:
+    """Values by code: sorted, so that it takes as much room as there are codes."""
 
-    pair: np.ndarray
-    after: np.ndarray
+    def __init__(self, code: np.ndarray, values: list[np.ndarray]) -> None:
+        order = np.argsort(code)
+        self.code, self.values = code[order], [x[order] for x in values]
 
-    @classmethod
-    def gathered(cls, counts: pa.Table) -> Models:
-        made = [np.zeros((2, 1 << bits), np.float32) for bits in (PAIR_BITS, WORD_BITS)]
-        kind, place = counts.column("kind").to_numpy(), counts.column("place").to_numpy()
-        for k in (0, 1):
-            c = counts.column(f"c{k}").to_numpy()
-            made[0][k][place[kind == 0]] = c[kind == 0]
-            made[1][k][place[kind == 1]] = c[kind == 1]
-        return cls(*made)
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each code is, and whether it is there at all."""
+        code = code.view(np.int64)
+        if len(self.code) == 0:
+            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return at, self.code[at] == code
 
-    def __post_init__(self) -> None:
-        self.shares = [self._shares(x) for x in (self.pair, self.after)]
+    def get(self, code: np.ndarray) -> list[np.ndarray]:
+        """The values of each code, 0 where there are none."""
+        at, there = self.find(code)
+        return [np.where(there, x[at] if len(x) else 0, 0).astype(float) for x in self.values]
 
-    @staticmethod
-    def _shares(counts: np.ndarray) -> np.ndarray:
-        """Shares of the classes among expressions of each level of commonness."""
-        level = _level(counts[0] + counts[1])
-        sums = np.stack([np.bincount(level, c, 64) + 1e-6 for c in counts.astype(np.float64)])
-        every = sums.sum(axis=1, keepdims=True) + 1.0
-        sums += 100 * every / every.sum()  # levels with few counts lean on the rest
-        return sums / sums.sum(axis=0)
-
-    def ratios(self, codes: np.ndarray, bounds: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """Log of toxic over ordinary probability of each word.
-
-        ``own``: the class of each text, whose counts are then taken out of the
-        model of that class (a text at a time).
-        """
-        place, word = _pair_place(pairs(codes, bounds)), _word_place(codes)
-        n = [self.after[k][word].astype(float) for k in (0, 1)]
-        c = [self.pair[k][place].astype(float) for k in (0, 1)]
-        if own is not None:
-            self._without(own, bounds, place, word, c, n)
-        t, s = (x[:, _level(m[0] + m[1])] for x, m in zip(self.shares, (c, n), strict=True))
-        behind = t * _share(n, s) / s
-        q = _share(c, behind / behind.sum(axis=0))
-        ratio = np.log(q[1] / t[1]) - np.log(q[0] / t[0])
-        return np.where(np.abs(ratio) > PRUNE, ratio, 0.0)
+
+def class_shares(sums: np.ndarray) -> np.ndarray:
+    """Shares of the classes among expressions of each level of commonness, from their counts by class and level."""
+    sums = sums + 1e-6
+    every = sums.sum(axis=1, keepdims=True) + 1.0
+    sums += 100 * every / every.sum()  # levels with few counts lean on the rest
+    return sums / sums.sum(axis=0)
+
+
+def log_ratios(c: list[np.ndarray], n: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
+    """Log of toxic over ordinary probability from the counts of pairs and of their words, pruned."""
+    t, s = (x[:, _level(m[0] + m[1])] for x, m in zip(shares, (c, n), strict=True))
+    behind = t * _share(n, s) / s
+    q = _share(c, behind / behind.sum(axis=0))
+    ratio = np.log(q[1] / t[1]) - np.log(q[0] / t[0])
+    return np.where(np.abs(ratio) > PRUNE, ratio, 0.0)
+
+
+def features(ratios: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per text: difference of the log-likelihoods per square root of the words, within bounds, and 1."""
+    sums = np.concatenate([[0.0], np.cumsum(ratios)]) if len(ratios) else np.zeros(1)
+    total, size = sums[bounds[1:]] - sums[bounds[:-1]], np.maximum(np.diff(bounds), 1)
+    return np.stack([np.clip(total / np.sqrt(size), -FAR, FAR), np.ones(len(size))], axis=1)
+
+
+@dataclass
+class Counted:
+    """Counts of the pairs and words of some texts, to judge each of these texts without its own."""
+
+    pair: Table
+    word: Table
+    shares: list[np.ndarray]
+
+    def ratios(self, codes: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Log-ratio of each word; ``own`` is the class of each text, whose counts are taken out of that class."""
+        both = pairs(codes, bounds)
+        n, c = self.word.get(codes), self.pair.get(both)
+        self._without(own, bounds, both, codes, c, n)
+        return log_ratios(c, n, self.shares)
 
     @staticmethod
     def _without(own, bounds, place, word, c, n) -> None:
@@ -238,11 +269,19 @@ class Models:
             n[k][here] = np.maximum(n[k][here] - np.round(np.bincount(which, lone)[which], 6), 0)
             c[k][here] = np.maximum(c[k][here] - times[at], 0)
 
-    def features(self, codes: np.ndarray, bounds: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """Per text: difference of the log-likelihoods per square root of the words, within bounds, and 1."""
-        sums = np.concatenate([[0.0], np.cumsum(self.ratios(codes, bounds, own))]) if len(codes) else np.zeros(1)
-        total, size = sums[bounds[1:]] - sums[bounds[:-1]], np.maximum(np.diff(bounds), 1)
-        return np.stack([np.clip(total / np.sqrt(size), -FAR, FAR), np.ones(len(size))], axis=1)
+
+@dataclass
+class Models:
+    """What both models say: log-ratios of words that are not 0, and of pairs that are not their word's."""
+
+    pair: Table
+    word: Table
+
+    def ratios(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        at, there = self.pair.find(pairs(codes, bounds))
+        ratio = self.word.get(codes)[0]
+        ratio[there] = self.pair.values[0][at[there]]
+        return ratio
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -265,7 +304,8 @@ class Scorer:
     def scores(self, column: pa.Array) -> np.ndarray:
         if self.models is None:
             return np.zeros(len(column))
-        return 1 / (1 + np.exp(-np.clip(self.models.features(*word_codes(column)) @ self.weights, -30, 30)))
+        codes, bounds = word_codes(column)
+        return 1 / (1 + np.exp(-np.clip(features(self.models.ratios(codes, bounds), bounds) @ self.weights, -30, 30)))
 
 
 def _learnable(labels: DataFrame) -> DataFrame:
@@ -273,34 +313,77 @@ def _learnable(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
 
+def counts_of(texts: DataFrame) -> DataFrame:
+    """Rows of ``COUNTS``, one for each word and pair of ``text, toxic`` rows: kind 0 are pairs, 1 words."""
+    return (
+        texts.select("text", "toxic")
+        .mapInArrow(_triples, "pair bigint, tail int")
+        .repartition("pair")
+        .sortWithinPartitions("pair", "tail")
+        .mapInArrow(_statistics, PARTS)
+        .repartition("word")
+        .sortWithinPartitions("word")
+        .mapInArrow(_merged, COUNTS)
+    )
+
+
+def _tables(rows: pa.Table, values: list[str]) -> list[Table]:
+    kind, code = rows.column("kind").to_numpy(), rows.column("code").to_numpy()
+    return [Table(code[kind == k], [rows.column(c).to_numpy()[kind == k] for c in values]) for k in (0, 1)]
+
+
+def _said(counts: DataFrame, shares: list[np.ndarray]) -> DataFrame:
+    """``kind, code, ratio`` of the words whose log-ratio is not 0 and of the pairs whose log-ratio is not their word's."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            kind, code, *numbers = (x.to_numpy() for x in some.columns)
+            c, n = [x.astype(float) for x in numbers[:2]], [x.astype(float) for x in numbers[2:]]
+            word = log_ratios([x * 0 for x in n], n, shares)
+            ratio = np.where(kind == 0, log_ratios(c, n, shares), word)
+            keep = ratio != np.where(kind == 0, word, 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, code, ratio)], names=["kind", "code", "ratio"])
+
+    return counts.mapInArrow(work, "kind int, code bigint, ratio double")
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some in slices(batches):
+        codes, bounds = word_codes(some.column("text"))
+        found = [np.unique(x) for x in (pairs(codes, bounds), codes)]
+        kind = np.repeat(np.array([0, 1], np.int32), [len(x) for x in found])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate(found).view(np.int64))], names=["kind", "code"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     """Count both models over all learnable rows and fit the curve."""
     known = _learnable(labels.select("doc_id", "toxic"))
     texts = docs.select("doc_id", "text").where(~held_out())
     side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known.hint("shuffle_hash")
-    counted = texts.join(side, "doc_id").select("text", "toxic").mapInArrow(_triples, "pair bigint, tail int")
-    counts = (
-        counted.repartition("pair")
-        .sortWithinPartitions("pair", "tail")
-        .mapInArrow(_statistics, COUNTS)
-        .groupBy("kind", "place")
-        .agg(*[F.sum(c).alias(c) for c in ("c0", "c1")])
-        .toArrow()  # at most 2**PAIR_BITS + 2**WORD_BITS rows
-    )
-    models = Models.gathered(counts)
+    counts = table(counts_of(texts.join(side, "doc_id")), "toxicity-counts")
+    level = (F.length(F.bin(F.col("c0").cast("bigint") + F.col("c1") + 1)) - 1).alias("level")
+    sums = np.zeros((2, 2, 64))
+    for r in counts.groupBy("kind", level).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).collect():
+        sums[r["kind"], :, r["level"]] = r["c0"], r["c1"]
     none = Scorer(None, np.zeros(2))
-    if models.after.sum(axis=1).min() == 0:
+    if sums[1].sum(axis=1).min() == 0:
         return none
+    shares = [class_shares(x) for x in sums]
+    models = Models(*_tables(_said(counts, shares).toArrow(), ["ratio"]))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    chosen = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    within = chosen.select("text").mapInArrow(_codes, "kind int, code bigint").distinct()
+    of_these = counts.select("kind", "code", "c0", "c1").join(within, ["kind", "code"], "left_semi")
+    held = docs.sparkSession.sparkContext.broadcast(Counted(*_tables(of_these.toArrow(), ["c0", "c1"]), shares))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches):
             own = some.column("toxic").to_numpy(zero_copy_only=False)
-            x = held.value.features(*word_codes(some.column("text")), own)
+            codes, bounds = word_codes(some.column("text"))
+            x = features(held.value.ratios(codes, bounds, own), bounds)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), some.column("toxic")], names=["x", "toxic"])
 
-    rows = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(judged, "x double, toxic int").toArrow()
+    rows = chosen.mapInArrow(judged, "x double, toxic int").toArrow()
     x, toxic = (rows.column(c).to_numpy() for c in ("x", "toxic"))
     if len(toxic) == 0 or toxic.min() == toxic.max():
         return none
