@@ -222,6 +222,21 @@ def test_expectation_maximisation_finds_the_accuracies():
     assert abs(model.prior - 0.9) < 0.03 and np.abs(model.chance[0, :, 2] - 0.3).max() < 0.06
 
 
+def test_a_labeller_that_is_often_wrong_is_outvoted():
+    rng = np.random.default_rng(1)
+    good = rng.random(20_000) < 0.9
+    bad_vote = np.where(good[:, None], rng.random((20_000, 8)) < 0.004, rng.random((20_000, 8)) < 0.3)
+    bad_vote[:, 3] = rng.random(20_000) < 0.2  # bad on good texts and on bad ones alike
+    says = 1 + bad_vote
+    patterns, counts = np.unique(says @ weak_quality._BASE, return_counts=True)
+    model = weak_quality.LabelModel(patterns, counts)
+    assert model.chance[1, 3, 2] > 0.1 and np.delete(model.chance[1, :, 2], 3).max() < 0.01
+    alone = (says == 2).sum(1) == 1
+    kept = model.posterior(says @ weak_quality._BASE) > 0.5
+    assert kept[alone & bad_vote[:, 3]].all() and not kept[alone & ~bad_vote[:, 3]].any()
+    assert kept[good].mean() > 0.96 and (~kept[~good]).mean() > 0.85
+
+
 # ---- token files
 
 

@@ -125,48 +125,62 @@ def votes(w: Words) -> np.ndarray:
 
 
 LABELLERS = 8
-#: Bounds of a labeller's bad votes on bad and on good texts. They keep the two kinds apart: a bad text is bad in one
-#: respect as a rule, and without bounds the estimate settles on the commonest kind of bad text alone.
-BAD_VOTES = ((0.1, 0.5), (1e-4, 0.01))
+#: Bounds of a labeller's bad votes on bad and on good texts: both sides of an even chance for the second, so that a labeller may turn out to be noise.
+BAD_VOTES = ((0.05, 0.9), (1e-4, 0.5))
+#: Labellers are believed to be right on good texts: so many texts more, per good one, on which each says good.
+BELIEF = 0.25
 _BASE = 3 ** np.arange(LABELLERS)
 
 
 class LabelModel:
-    """Chances of each vote on bad and good texts, and the chance of a good text, from counts of vote patterns."""
+    """Chances of each vote on bad and good texts, and the chance of a good text, from counts of vote patterns.
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> None:
+    Labellers whose bad votes go with those of others are estimated to be right,
+    one whose bad votes come alike with and without the others' to be noise.
+    """
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> None:
         self.prior = 0.8
         says = (patterns[:, None] // _BASE) % 3  # pattern x labeller
-        # a bad text is bad in one respect as a rule, so one bad vote starts it as bad whatever the others say
-        good = np.where(patterns == 0, self.prior, np.where((says == 2).any(1), 0.05, 0.95))
         self.chance = np.full((2, LABELLERS, 3), 1 / 2)
-        for _ in range(rounds if counts.sum() else 0):
-            # each pattern goes to the likelier side, which keeps the many kinds of bad texts on one
-            side = good > 0.5
-            for k in (0, 1):
-                for vote in range(3):
-                    self.chance[k, :, vote] = ((says == vote) * ((side == k) * counts)[:, None]).sum(0) + 1.0
-            # to abstain, as on short texts, tells nothing
-            self.chance[:, :, 1:] /= self.chance[:, :, 1:].sum(2, keepdims=True)
-            self.chance[:, :, 0] = 1.0
-            for k, (low, high) in enumerate(BAD_VOTES):
-                self.chance[k, :, 2] = np.clip(self.chance[k, :, 2], low, high)
-                self.chance[k, :, 1] = 1 - self.chance[k, :, 2]
-            self.prior = float(np.clip((side * counts).sum() / counts.sum(), 0.5, 0.98))
-            new = self.posterior(patterns)
+        if not counts.sum():
+            return
+        voted = [((says == vote) * counts[:, None]).sum(0) for vote in (1, 2)]
+        self._bounded(0.3, voted[1] / np.maximum(voted[0] + voted[1], 1) / 2)
+        good = self._posterior(patterns, 0)
+        for _ in range(rounds):
+            bad_votes = []
+            for side in (1 - good, good):
+                n = [((says == vote) * (side * counts)[:, None]).sum(0) + 1.0 for vote in (1, 2)]
+                if side is good:
+                    n[0] = n[0] + BELIEF * (good * counts).sum()
+                bad_votes.append(n[1] / (n[0] + n[1]))
+            self._bounded(*bad_votes)
+            self.prior = float(np.clip((good * counts).sum() / counts.sum(), 0.5, 0.98))
+            new = self._posterior(patterns, 0)
             if np.abs(new - good).max() < 1e-9:
                 break
             good = new
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+    def _bounded(self, *bad_votes: np.ndarray | float) -> None:
+        for k, (low, high) in enumerate(BAD_VOTES):
+            self.chance[k, :, 2] = np.clip(bad_votes[k], low, high)
+            self.chance[k, :, 1] = 1 - self.chance[k, :, 2]
+        self.chance[:, :, 0] = 1.0  # to abstain, as on short texts, tells nothing
+
+    def _posterior(self, patterns: np.ndarray, together: int) -> np.ndarray:
+        """Chance of a good text; ``together`` is 1 where good votes hang together and count as one, else 0."""
         says = (patterns[:, None] // _BASE) % 3
         each = np.log(self.chance[:, np.arange(LABELLERS)[None, :], says])
-        # all but one labeller call a bad text good as a rule: their good votes hang together and count as one
-        log = (each * (says == 2)).sum(2) + (each * (says == 1)).sum(2) / np.maximum((says == 1).sum(1), 1)
+        log = (each * (says == 2)).sum(2) + (each * (says == 1)).sum(2) / np.maximum((says == 1).sum(1), 1) ** together
         log = log + np.log([1 - self.prior, self.prior])[:, None]
         # a text on which all abstain tells nothing but the share of good texts
         return np.where(patterns == 0, self.prior, 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50))))
 
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """All but one labeller call a bad text good as a rule, so their good votes count as one here; the rates are estimated with each vote."""
+        return self._posterior(patterns, 1)
+
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, place and value of each non-zero feature; each text's values of shapes and of words add up to one each."""
