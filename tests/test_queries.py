@@ -42,3 +42,25 @@ def test_query_agrees_with_sql(spark, small, name):
     found = queries[name](spark, small)
     want = con.execute(oracle[name])
     assert ordered(found.columns, found.collect()) == ordered([d[0] for d in want.description], want.fetchall())
+
+
+@pytest.fixture(scope="module")
+def many(spark, small, tmp_path_factory):
+    """The smallest tables with five times the benchmark texts, as many as at sf0.1."""
+    folder = tmp_path_factory.mktemp("many")
+    for path in Path(small).glob("*.parquet"):
+        (folder / path.name).symlink_to(path)
+    (folder / "benchmark.parquet").unlink()
+    rows = spark.read.parquet(f"{small}/benchmark.parquet")
+    n = rows.count()
+    more = rows.selectExpr("text", f"explode(sequence(item_id, item_id + {4 * n}, {n})) as item_id")
+    more.select("item_id", "text").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+def test_every_text_query_has_a_vector(spark, many):
+    from vellum.suite import ranking, views
+
+    asked = {r.query_id for r in views.queries(spark, many).collect()}
+    got = ranking._query_vectors(spark, many).collect()
+    assert len(asked) == 200 and sorted(r.query_id for r in got) == sorted(asked)

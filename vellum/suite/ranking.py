@@ -84,7 +84,8 @@ mx as (select coalesce(n.query_id, o.query_id) as query_id, coalesce(n.paper_id,
 
 
 def _query_vectors(spark, sf):
-    e = v.vectors(spark, sf).where("vec_id < 40")
+    """One vector for each text query: the one with its number."""
+    e = v.vectors(spark, sf).join(v.queries(spark, sf).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
     return e.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
