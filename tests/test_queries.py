@@ -64,3 +64,9 @@ def test_every_text_query_has_a_vector(spark, many):
     asked = {r.query_id for r in views.queries(spark, many).collect()}
     got = ranking._query_vectors(spark, many).collect()
     assert len(asked) == 200 and sorted(r.query_id for r in got) == sorted(asked)
+
+
+def test_every_claim_gets_papers(spark, many):
+    """Copies of a claim that have papers with its words have a strength, also beyond the first 40."""
+    found = {r.query_id for r in entry.queries()["claim_strength"](spark, many).collect()}
+    assert min(found) < 40 and sum(i >= 40 for i in found) > 80
