@@ -62,3 +62,14 @@ def test_forgetting_keeps_the_ids(texts):
     once, again = Encoder(), Encoder(most=1)
     for _ in range(2):
         assert all((a == b).all() for a, b in zip(once.encode(texts), again.encode(texts), strict=True))
+
+
+def test_strings_of_added_tokens_are_those_tokens():
+    """Ids equal the library's by ``add_special_tokens=False`` alone, also where a text holds an added token's string."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_path())
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    texts = [x for t in added for x in (f"a {t} b", t, f"{t}{t} c", f" {t}", f"one{t}two", f"x  {t}\n{t} y", t[:-1], f"<{t}>")] + ["a b", ""]
+    got = Encoder().encode(pa.array(texts))
+    assert added and [x.tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]

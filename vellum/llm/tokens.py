@@ -4,13 +4,14 @@ A byte-level BPE splits a text before every single space that stands between two
 characters that are no white space, whatever comes before or after. So a text
 without white space in a row is the chain of its space-led pieces, and each
 distinct piece needs the tokenizer only once per task; new ones are encoded as one
-chain, and the byte lengths of the ids tell the pieces apart. Other texts are
-encoded whole. Ids equal those of encoding the whole text.
+chain, and the byte lengths of the ids tell the pieces apart. Other texts, and those
+that hold the string of an added token, are encoded whole. Ids equal those of encoding the whole text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content.strip()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Strings of added tokens, which the tokenizer takes out of a text before it splits the rest.
+        self.added = "(?i)" + "|".join(added) if added else None
         self.most = most
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each id: a byte-level token has one character for each.
@@ -119,6 +122,8 @@ class Encoder:
         if len(self.place) > self.most:
             self._forget()
         odd = pc.match_substring_regex(column, _ROW_OF_SPACE).to_numpy(zero_copy_only=False)
+        if self.added:
+            odd = odd | pc.match_substring_regex(column, self.added).to_numpy(zero_copy_only=False)
         ids, bounds = self._pieced(column if not odd.any() else pc.if_else(pa.array(odd), "", column))
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         where = np.flatnonzero(odd)
