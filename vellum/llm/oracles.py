@@ -88,3 +88,28 @@ fine as (select l.doc_id, bool_and(v <= coalesce(case when o.n_rows >= {LEAST_RO
   left join per_lang p on l.lang is not distinct from p.lang and l.measure = p.measure left join overall g on l.measure = g.measure group by 1)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok as kept from judged join fine using (doc_id)
 """
+
+_CRC_BIT = "case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+PREFIX_TRIE = f"""
+with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as r from conversations where conv_id is not null),
+b as (select distinct c, c - c % 5 as base, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint) as codes from t),
+h as (select c, base, xor(list_reduce(list_prepend(4294967295::bigint, codes), lambda crc, code:
+  list_reduce(list_prepend(xor(crc, code), range(8)), lambda x, i: {_CRC_BIT})), 4294967295::bigint) % 9 as h from b),
+rows as (select h.c, 0 as own, r, role, text from h join t on t.c = h.base and t.r <= h.h
+  union all select h.c, 1, r, role, text from h join t on t.c = h.c and t.r > h.h),
+p as (select *, row_number() over (partition by c order by own, r) as depth, list({{'r': role, 't': text}}) over (partition by c order by own, r) as prefix from rows),
+k as (select c, depth, prefix[:depth - 1] as above, prefix, strlen(text) as bytes from p
+  union all select c, 0, null, []::struct(r varchar, t varchar)[], 0 from h),
+n as (select prefix, depth, min(c) as conv_id, count(*) as n_convs, any_value(above) as above, any_value(bytes) as bytes from k group by all),
+l as (select c, max(depth) as depth from k group by 1),
+e as (select prefix, sha256(string_agg(c::varchar, ',' order by c)) as ends from l join k using (c, depth) group by 1),
+d as (select above as prefix, count(*) as n_children from n where depth > 0 group by 1),
+leaf as (select n.* from n left join d using (prefix) where d.prefix is null),
+up as (select prefix[:i] as prefix, 0::bigint as leaves, (n_convs - 1) * bytes as saved from n, lateral (select unnest(range(depth + 1)) as i)
+  union all select prefix[:i], 1, 0 from leaf, lateral (select unnest(range(depth + 1)) as i)),
+sub as (select prefix, sum(leaves)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from up group by 1)
+select n.conv_id, n.depth, a.conv_id as parent_conv_id, n.n_convs, coalesce(d.n_children, 0) as n_children, n_leaves, saved_tokens,
+  coalesce(e.ends, sha256('')) as ends_sha256
+from n join sub using (prefix) left join d using (prefix) left join e using (prefix) left join n a on n.depth > 0 and a.prefix = n.above
+"""
