@@ -89,6 +89,14 @@ fine as (select l.doc_id, bool_and(v <= coalesce(case when o.n_rows >= {LEAST_RO
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok as kept from judged join fine using (doc_id)
 """
 
+WARC = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+  row_number() over (partition by coalesce(html, '') order by page_id desc nulls last, url desc nulls last) as place,
+  first(page_id) over (partition by coalesce(html, '') order by page_id desc nulls last, url desc nulls last) as kept from pages)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and place > 1 then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and place > 1 then kept end as refers_to from p
+"""
+
 _CRC_BIT = "case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
 PREFIX_TRIE = f"""
 with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,

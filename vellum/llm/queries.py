@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellum.llm import fingerprints, html_text, jaccard_join, mixing, oracles, packing, prefix_trie, quality_rules, sharding, token_files, toxicity, weak_quality
+from vellum.llm import fingerprints, html_text, jaccard_join, mixing, oracles, packing, prefix_trie, quality_rules, sharding, token_files, toxicity, warc, weak_quality
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir)).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_warc": op11_warc,
     "op12_prefix_trie": op12_prefix_trie,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -89,5 +94,6 @@ ORACLES: dict[str, str] = {
     "op1_jaccard_join": oracles.JACCARD_JOIN,
     "op2_mixing": oracles.MIXING,
     "op10_quality_rules": oracles.QUALITY_RULES,
+    "op11_warc": oracles.WARC,
     "op12_prefix_trie": oracles.PREFIX_TRIE,
 }
