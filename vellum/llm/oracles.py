@@ -121,3 +121,23 @@ select n.conv_id, n.depth, a.conv_id as parent_conv_id, n.n_convs, coalesce(d.n_
   coalesce(e.ends, sha256('')) as ends_sha256
 from n join sub using (prefix) left join d using (prefix) left join e using (prefix) left join n a on n.depth > 0 and a.prefix = n.above
 """
+
+PHRASES = rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, m, unnest(list_transform(range(1, (len(w) - m + 2)::bigint), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
+  from w, (select unnest([1, 2, 3, 4, 5]) as m) where len(w) >= m),
+f as materialized (select lang, m, phrase, count(*) as a from g group by all),
+n as (select lang, sum(a)::bigint as n from f where m = 1 group by 1),
+c as (select * from f where m > 1 and a >= 100),
+inner_parts as (select distinct c.lang, c.a, array_to_string(string_split(c.phrase, ' ')[i:i + k - 1], ' ') as phrase
+  from c, (select unnest(range(1, 5)) as i), (select unnest(range(2, 5)) as k) where k < c.m and i + k - 1 <= c.m),
+o as (select c.* from c where not exists (select 1 from inner_parts x where x.lang = c.lang and x.phrase = c.phrase and 100 * x.a >= 100 * c.a)),
+sides as (select o.*, k, array_to_string(string_split(o.phrase, ' ')[:k], ' ') as lp, array_to_string(string_split(o.phrase, ' ')[k + 1:], ' ') as rp
+  from o join (select unnest(range(1, 5)) as k) on k < o.m),
+cut as (select s.lang, s.phrase, s.a, k, l.a as l, r.a as r, n.n, ((1000::hugeint * s.a * n.n) // (l.a::hugeint * r.a))::bigint as score
+  from sides s join f l on l.lang = s.lang and l.phrase = s.lp join f r on r.lang = s.lang and r.phrase = s.rp join n on n.lang = s.lang),
+b as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b)
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vellum.llm import fingerprints, html_text, jaccard_join, mixing, oracles, packing, prefix_trie, quality_rules, sharding, token_files, toxicity, warc, weak_quality
+from vellum.llm import fingerprints, html_text, jaccard_join, mixing, oracles, packing, phrases, prefix_trie, quality_rules, sharding, token_files, toxicity, warc, weak_quality
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_mixing": op2_mixing,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_warc": op11_warc,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_phrases": op13_phrases,
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
@@ -96,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op10_quality_rules": oracles.QUALITY_RULES,
     "op11_warc": oracles.WARC,
     "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_phrases": oracles.PHRASES,
 }
