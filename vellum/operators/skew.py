@@ -112,3 +112,26 @@ def substring_pairs(
         .select("pattern", "text")
         .distinct()
     )
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, width: int = RANGE_WIDTH
+) -> DataFrame:
+    """Largest ``value`` (structs compare field by field, null is none) of the earlier rows of a key, the row itself not counted.
+
+    ``order`` is a whole-number column, unique within a key. As in :func:`running_total` a key is
+    dealt out in ranges of the order, whose own largest values are carried on.
+    """
+    keys = list(keys)
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width).cast("bigint")).withColumn("_value", value)
+    tops = ranged.groupBy(*keys, "_range").agg(F.max("_value").alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_range").alias("_r"), F.max("_top").over(before).alias("_carry")
+    ).where(F.col("_carry").isNotNull())
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    local = ranged.withColumn("_local", F.max("_value").over(inside))
+    return local.join(carried, same, "left").withColumn(out, F.greatest(F.coalesce("_local", "_carry"), F.coalesce("_carry", "_local"))).select(*df.columns, out)
