@@ -13,8 +13,8 @@ Later rounds leave out the others, by a bit table of the frequent phrases of the
 bounded size (``MOST_BITS``). Hashes only decide what is counted in vain: all counts are kept by
 the words themselves, so they are exact however full the table is.
 
-A stripe is dealt out in parts by its next words, so the stripe of a very frequent word, or of the
-empty prefix, isn't built in one task.
+The stripe of the empty prefix and those of very frequent prefixes are dealt out in parts by their
+next words, more of them the more frequent the prefix is, so no task has a whole such stripe.
 
 Defined cases: null text is empty, null language is ``und``; repeated rows count each; texts are
 read whole; an empty table has no phrases; other columns are not looked at.
@@ -35,8 +35,10 @@ from vellum.llm.kernels import U64, span_hashes, text_bytes, window_hashes, word
 
 #: Bytes of text whose words are counted together before they leave a task.
 CHUNK = 1 << 22
-#: Parts of the stripe of the empty prefix and of other prefixes.
-PARTS, PARTS_OF_WORDS = 64, 1024
+#: Parts of the stripe of the empty prefix; other prefixes have a part for each so many occurrences at least,
+PARTS_OF_WORDS, OCCURRENCES = 1024, 1 << 20
+#: and no more parts in all than this, whatever the corpus.
+MOST_PARTS = 100_000
 MOST_BITS = 1 << 27
 #: Ranked first within so many parts of a language.
 SALTS = 64
@@ -48,7 +50,8 @@ _BREAK[[ord(c) for c in ".,;:!?\x0a\x0b\x0c\x0d"]] = True
 _SOLID = ~_BREAK
 _SOLID[[9, 32]] = False
 
-STRIPE = "lang string, prefix string, part int, nexts array<string>, counts array<bigint>"
+#: On its way a stripe is packed: its words joined by spaces, its counts as 32-bit numbers.
+STRIPE = "lang string, prefix string, part int, nexts string, counts binary"
 MERGED = "lang string, prefix string, total bigint, largest bigint, nexts array<string>, counts array<bigint>"
 
 
@@ -81,8 +84,8 @@ def hashes_of(names: pa.Array) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:], lower=False)
 
 
-def _stripes(batches: Iterator[pa.RecordBatch], k: int, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Stripes of prefixes of ``k`` words; ``known`` are the bits of frequent phrases of ``k`` words."""
+def _stripes(batches: Iterator[pa.RecordBatch], k: int, known: np.ndarray | None, split: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Stripes of prefixes of ``k`` words; ``known`` are the bits of frequent phrases of ``k`` words, ``split`` the parts of the most frequent."""
     for batch in slices(batches, most=CHUNK):
         words = Words(batch.column("text"))
         langs = batch.column("lang").dictionary_encode()
@@ -92,8 +95,8 @@ def _stripes(batches: Iterator[pa.RecordBatch], k: int, known: np.ndarray | None
             continue
         at = np.arange(n)
         if k:
-            bits = U64(len(known) * 64 - 1)
-            marks = (window_hashes(words.hashes[words.codes], k) ^ hashes_of(langs.dictionary)[lang[: n + 1]]) & bits
+            hashes = window_hashes(words.hashes[words.codes], k) ^ hashes_of(langs.dictionary)[lang[: n + 1]]
+            marks = hashes & U64(len(known) * 64 - 1)
             often = (known[marks >> U64(6)] >> (marks & U64(63))) & U64(1) != 0
             at = np.flatnonzero((words.piece[:n] == words.piece[k:]) & often[:-1] & often[1:])
             if not len(at):
@@ -101,28 +104,42 @@ def _stripes(batches: Iterator[pa.RecordBatch], k: int, known: np.ndarray | None
         v, ids = len(words.names), lang[at]
         for i in range(k):  # number the prefixes
             ids = np.unique(ids * v + words.codes[at + i], return_inverse=True)[1]
-        parts = (words.hashes >> U64(40)).astype(np.int64) % (PARTS if k else PARTS_OF_WORDS)
+        _, one, counts = np.unique(ids * v + words.codes[at + k], return_index=True, return_counts=True)
+        ids, at = ids[one], at[one]
         last = words.codes[at + k]
-        _, one, counts = np.unique(ids * v + last, return_index=True, return_counts=True)
-        order = np.lexsort((parts[last[one]], ids[one]))
-        one, counts = one[order], counts[order]
-        ids, last, at = ids[one], last[one], at[one]
-        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (parts[last[1:]] != parts[last[:-1]])]))
-        bounds = pa.array(np.append(new, len(ids)), pa.int32())
+        many = np.full(len(at), PARTS_OF_WORDS)
+        if k:
+            named, n_parts = split
+            place = np.searchsorted(named, hashes[at])
+            many = np.append(n_parts, 1)[np.where(np.append(named, U64(0))[place] == hashes[at], place, len(named))]
+        parts = (words.hashes[last] >> U64(33)).astype(np.int64) % many
+        order = np.lexsort((parts, ids))
+        ids, at, last, parts, counts = (x[order] for x in (ids, at, last, parts, counts))
+        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (parts[1:] != parts[:-1])]))
+        bounds = np.append(new, len(ids))
         heads = [words.names.take(pa.array(words.codes[at[new] + i])) for i in range(k)]
-        prefix = pc.binary_join_element_wise(*heads, " ") if k else pa.array([""] * len(new), pa.string())
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(counts.astype("<i4"))])
         yield pa.RecordBatch.from_arrays(
             [
                 langs.dictionary.take(pa.array(lang[at[new]])),
-                prefix,
-                pa.array(parts[last[new]].astype(np.int32)),
-                pa.ListArray.from_arrays(bounds, words.names.take(pa.array(last))),
-                pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64))),
+                pc.binary_join_element_wise(*heads, " ") if k else pa.array([""] * len(new), pa.string()),
+                pa.array(parts[new].astype(np.int32)),
+                pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words.names.take(pa.array(last))), " "),
+                packed,
             ],
             names=["lang", "prefix", "part", "nexts", "counts"],
         )
 
 
+def _unpacked(batch: pa.RecordBatch) -> pa.Table:
+    nexts = pc.split_pattern(batch.column("nexts"), " ")
+    counts = batch.column("counts")
+    places = np.frombuffer(counts.buffers()[1], np.int32)[counts.offset : counts.offset + len(counts) + 1]
+    flat = np.frombuffer(counts.buffers()[2], "<i4")[places[0] // 4 : places[-1] // 4].astype(np.int64)
+    lists = [nexts, pa.ListArray.from_arrays(pa.array((places - places[0]) // 4, pa.int32()), pa.array(flat))]
+    return pa.table([*(batch.column(c) for c in ("lang", "prefix", "part")), *lists], names=["lang", "prefix", "part", "nexts", "counts"])
+
+
 def _added(rows: pa.Table) -> pa.Table:
     """One stripe for each ``lang, prefix, part``, counts added up word by word."""
     keys = ["lang", "prefix", "part"]
@@ -161,7 +178,7 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     for batch in batches:
         if not batch.num_rows:
             continue
-        some = pa.Table.from_batches([batch])
+        some = _unpacked(batch)
         some = _added(pa.concat_tables([held, some]) if held is not None else some)
         held = some.slice(len(some) - 1)
         if len(some) > 1:
@@ -170,13 +187,13 @@ def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield from out(held.combine_chunks())
 
 
-def stripes(docs: DataFrame, k: int, least: int, known: np.ndarray | None) -> DataFrame:
+def stripes(docs: DataFrame, k: int, least: int, known: np.ndarray | None, split: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """Merged stripes of all prefixes of ``k`` words: see ``MERGED``; of next words those with ``least`` are kept.
 
     ``total`` and ``largest`` are those of all next words that were counted, in one part of a stripe.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    built = docs.mapInArrow(lambda batches: _stripes(batches, k, shared.value), STRIPE)
+    shared = docs.sparkSession.sparkContext.broadcast((known, split))
+    built = docs.mapInArrow(lambda batches: _stripes(batches, k, *shared.value), STRIPE)
     keys = ["lang", "prefix", "part"]
     dealt = built.repartition(*keys).sortWithinPartitions(*keys)
     merged = table(dealt.mapInArrow(lambda batches: _merge(batches, least), MERGED), f"stripes-{k}")
@@ -189,11 +206,8 @@ def bits_of(phrases: DataFrame, k: int, n: int, most: int = MOST_BITS) -> np.nda
     size = max(1 << 12, min(most, 1 << (16 * n).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, bounds = word_hashes(batch.column("phrase"), lower=False)
-            if not batch.num_rows:
-                continue
-            marks = (window_hashes(hashes, k)[bounds[:-1]] ^ hashes_of(batch.column("lang"))) & U64(size - 1)
+        for hashes, _ in _hashed(batches, k):
+            marks = hashes & U64(size - 1)
             yield pa.RecordBatch.from_arrays([pa.array((marks >> U64(6)).astype(np.int64)), pa.array((U64(1) << (marks & U64(63))).view(np.int64))], names=["place", "bits"])
 
     found = phrases.select("lang", "phrase").mapInArrow(places, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -202,17 +216,39 @@ def bits_of(phrases: DataFrame, k: int, n: int, most: int = MOST_BITS) -> np.nda
     return out
 
 
+def _hashed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    for batch in batches:
+        if batch.num_rows:
+            hashes, bounds = word_hashes(batch.column("phrase"), lower=False)
+            yield window_hashes(hashes, k)[bounds[:-1]] ^ hashes_of(batch.column("lang")), batch
+
+
+def parts_of(phrases: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the phrases of ``k`` words that are very frequent among ``n`` words, and their numbers of parts; fewer than ``MOST_PARTS``."""
+    unit = max(OCCURRENCES, -(-n // MOST_PARTS))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, batch in _hashed(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pc.add(pc.divide(batch.column("a"), unit), 1)], names=["hash", "parts"])
+
+    found = phrases.where(F.col("a") >= unit).select("lang", "phrase", "a").mapInArrow(hashed, "hash bigint, parts bigint").toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("parts").to_numpy()[order]
+
+
 def counted(docs: DataFrame, least: int = 100, longest: int = 5, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Frequent phrases ``lang, phrase, n_words, a, largest`` up to ``longest`` words, and ``lang, n``.
 
     ``largest`` is the count of the most frequent phrase that has one word more, at either end, if that is frequent.
     """
     some = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    known, phrases, totals = None, None, None
+    known = split = phrases = totals = None
     for k in range(longest):
-        merged = stripes(some, k, least, known)
+        merged = stripes(some, k, least, known, split)
         if k == 0:
             totals = merged.groupBy("lang").agg(F.sum("total").alias("n"))
+            n_all = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         pairs = F.arrays_zip(F.col("nexts").alias("w"), F.col("counts").alias("a"))
         phrase = F.col("p.w") if k == 0 else F.concat_ws(" ", "prefix", "p.w")
         found = merged.select("lang", "prefix", F.explode(pairs).alias("p")).select("lang", phrase.alias("phrase"), F.lit(k + 1).alias("n_words"), F.col("p.a").alias("a"))
@@ -225,7 +261,7 @@ def counted(docs: DataFrame, least: int = 100, longest: int = 5, lang: str = "la
         if not n:
             break
         if k + 1 < longest:
-            known = bits_of(found, k + 1, n)
+            known, split = bits_of(found, k + 1, n), parts_of(found, k + 1, n_all)
     if k >= 2:
         phrases = phrases.join(longer.groupBy("lang", "phrase").agg(F.max("largest").alias("largest")), ["lang", "phrase"], "left")
     else:
