@@ -43,7 +43,7 @@ def citation_key(title: Column, year: Column, author: Column) -> Column:
     kept = F.when(F.size(kept) > 0, kept).otherwise(words)
     short = F.array_join(F.transform(F.slice(kept, 1, 2), _capital), "")
     digits = F.substring(F.regexp_replace(text_or_empty(year.cast("string")), "[^0-9]", ""), 1, 4)
-    digits = F.when(digits.cast("int") == 0, F.lit("")).otherwise(digits)
+    digits = F.when(digits.rlike("^0*$"), F.lit("")).otherwise(digits)
     return F.concat(
         F.upper(F.substring(name, 1, 1)),
         F.lower(F.substring(name, 2, 1_000_000)),
