@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,18 +41,31 @@ class Corpus:
     ontology: DataFrame | None = None
     records: DataFrame | None = None
     embeddings: DataFrame | None = None
+    kept: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def _index(self, name: str, df: DataFrame, ids: list[str], cols: tuple[str, ...]) -> lx.TextIndex:
+        """An index is written at its first use and kept with this corpus, whose tables don't change."""
+        if name not in self.kept:
+            self.kept[name] = lx.persisted(lx.build_index(df, ids, cols))
+        return self.kept[name]
 
     def paper_index(self) -> lx.TextIndex:
-        return lx.persisted(lx.build_index(self.papers, ["paper_id"], PAPER_INDEX_COLS))
+        return self._index("papers", self.papers, ["paper_id"], PAPER_INDEX_COLS)
 
     def evidence_index(self) -> lx.TextIndex:
-        return lx.build_index(self.evidence, ["paper_id", "evidence_id"], ("source_text", "claim", "section"))
+        return self._index("evidence", self.evidence, ["paper_id", "evidence_id"], ("source_text", "claim", "section"))
 
     def formula_index(self) -> lx.TextIndex:
-        return lx.build_index(self.formulas, ["paper_id", "formula_id"], ("formula_latex", "semantic_description", "variables"))
+        return self._index("formulas", self.formulas, ["paper_id", "formula_id"], ("formula_latex", "semantic_description", "variables"))
 
     def chunk_index(self) -> lx.TextIndex:
-        return lx.build_index(self.chunks, ["paper_id", "chunk_id"], ("text", "section"))
+        return self._index("chunks", self.chunks, ["paper_id", "chunk_id"], ("text", "section"))
+
+    def features(self) -> DataFrame:
+        """Ranking features of all papers, written once."""
+        if "features" not in self.kept:
+            self.kept["features"] = rk.featured(self.papers, self.edges)
+        return self.kept["features"]
 
 
 def _citation() -> Column:
@@ -178,7 +191,7 @@ def rank_papers(queries: DataFrame, corpus: Corpus, k: int, query_vectors: DataF
     expanded = corpus.concepts is not None
     if expanded:
         queries = rk.expand_queries(queries, rk.alias_map(corpus.concepts))
-    index, features = index or corpus.paper_index(), rk.featured(corpus.papers, corpus.edges)
+    index, features = index or corpus.paper_index(), corpus.features()
     if query_vectors is None or corpus.embeddings is None:
         cands = rk.candidates(index, corpus.papers, queries, corpus.edges, k, expanded, features)
         return rk.rank(cands, corpus.papers, queries, corpus.edges, k, features)
@@ -269,7 +282,8 @@ def search_evidence(queries: DataFrame, corpus: Corpus, k: int = 10, any_term: b
         hits = lx.match_any(index, terms, k if allowed is None else None)
     else:
         hits = lx.match_all(index, terms)
-    fallback = lx.substring_fallback(queries, hits, corpus.evidence, ids, ["source_text", "claim"])
+    hits = written(hits, "hits")
+    fallback = lx.substring_fallback(queries, hits, index.docs, ids, ["source_text", "claim"])
     hits = _restrict(hits.unionByName(fallback), allowed)
     short = lx.minmax(lx.best(hits, ["evidence_id"], k), ["query_id"])
     return short.join(
@@ -295,6 +309,7 @@ def verify_claims(claims: DataFrame, corpus: Corpus, k: int = 10, allowed: DataF
         .where("coverage >= 0.5")
         .drop("_body")
     )
+    qualified = written(qualified, "qualified")
     support = qualified.groupBy("query_id").agg(F.count("*").alias("n_evidence"))
     strength = claim_strength(qualified.select("query_id", "paper_id", "tokens"), corpus.claims)
     verdicts = (
@@ -327,8 +342,9 @@ def claim_strength(support: DataFrame, stored: DataFrame) -> DataFrame:
 def search_formulas(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
     """Formulas best-first; an optional query column ``role`` filters before the cut."""
     ids = ["paper_id", "formula_id"]
-    hits = lx.match_all(corpus.formula_index(), lx.query_terms(queries))
-    fallback = lx.substring_fallback(queries, hits, corpus.formulas, ids, ["formula_latex", "semantic_description"])
+    index = corpus.formula_index()
+    hits = written(lx.match_all(index, lx.query_terms(queries)), "hits")
+    fallback = lx.substring_fallback(queries, hits, index.docs, ids, ["formula_latex", "semantic_description"])
     cols = corpus.formulas.select("formula_id", "formula_latex", "formula_role", "semantic_description", "source_evidence_id")
     found = hits.unionByName(fallback).join(cols, "formula_id")
     if "role" in queries.columns:

@@ -74,8 +74,8 @@ def rank_papers(spark, sf):
 
 
 _VHIT = """select * from (select *, row_number() over (partition by query_id order by score desc, paper_id, object_id) as r from (
-  select q.vec_id % 40 as query_id, e.paper_id, e.object_id, round(list_cosine_similarity(q.vector::double[], e.vector::double[]), 9) as score
-  from vectors q, vectors e where q.vec_id < 40)) where r <= 10"""
+  select q.vec_id as query_id, e.paper_id, e.object_id, round(list_cosine_similarity(q.vector::double[], e.vector::double[]), 9) as score
+  from vectors q, vectors e where q.vec_id in (select item_id from benchmark))) where r <= 10"""
 _FUSED = f"""with vhit as ({_VHIT}),
 vterm as (select query_id, paper_id, max(score / mx) as vec from (select *, max(score) over (partition by query_id) as mx from vhit) where score > 0 group by all),
 ok as (select query_id, paper_id, vec from vterm join checked using (query_id, paper_id) where kind = 'q' and pass),
@@ -221,7 +221,7 @@ def claim_evidence(spark, sf):
     return _six(ly.verify_claims(c, v.corpus(spark, sf))[1].select("query_id", "evidence_id", "rank", "coverage"), "coverage")
 
 
-@query("""with t as (select claim_no as query_id, paper_id, tokens from claims join ctok on query_id = claim_no join papers on doc_id % 40 = claim_no)
+@query("""with t as (select claim_no as query_id, paper_id, tokens from claims join ctok on query_id = claim_no join papers on doc_id % (select count(*) from claims) = claim_no)
 select query_id, min(strength) as strength from t join paper_claims c using (paper_id)
 where len(list_filter(tokens, lambda w: contains(lower(c.claim), w))) > 0 group by 1""")
 def claim_strength(spark, sf):
