@@ -200,6 +200,14 @@ def allocate_ids(new: DataFrame, counters: DataFrame, log: DataFrame | None = No
     return (ids if kept is None else ids.unionByName(kept)), after
 
 
+def raised(counters: DataFrame, ids: DataFrame) -> DataFrame:
+    """Counters that are past every number in ``ids`` (column ``paper_id``) of the form that is given out, so none is given again."""
+    part = [F.regexp_extract("paper_id", r"^(.+)_(\d{4})_(\d{3,18})$", i) for i in (1, 2, 3)]
+    used = ids.select(part[0].alias("domain"), part[1].alias("year"), part[2].alias("n")).where("domain <> ''")
+    used = used.groupBy("domain", F.col("year").cast("int").alias("year")).agg((F.max(F.col("n").cast("bigint")) + 1).alias("_past"))
+    return counters.join(used, ["domain", "year"], "full").select("domain", "year", F.greatest("next_value", "_past").alias("next_value"))
+
+
 def suffixed_keys(new: DataFrame, existing: DataFrame) -> DataFrame:
     """``row_key, citation_key``: the wanted key, with ``_a``, ``_b`` … ``_z``, ``_aa`` … where it is taken.
 

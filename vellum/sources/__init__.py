@@ -1 +1 @@
-"""Readers, the versioned table store and file sinks."""
+"""Tables in the shared folder that change as one."""

@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Imports: batches of packages, and streams of changes."""
