@@ -117,21 +117,29 @@ def substring_pairs(
 def running_max(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, width: int = RANGE_WIDTH
 ) -> DataFrame:
-    """Largest ``value`` (structs compare field by field, null is none) of the earlier rows of a key, the row itself not counted.
+    """Largest ``value`` (structs compare field by field, null is none) of the earlier rows of a key, the row itself not counted."""
+    return running_maxima(df, keys, order, {out: value}, width)
+
+
+def running_maxima(
+    df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], width: int = RANGE_WIDTH
+) -> DataFrame:
+    """:func:`running_max` of several values at once, each in the column that it is named by.
 
     ``order`` is a whole-number column, unique within a key. As in :func:`running_total` a key is
     dealt out in ranges of the order, whose own largest values are carried on.
     """
-    keys = list(keys)
-    ranged = df.withColumn("_range", F.floor(F.col(order) / width).cast("bigint")).withColumn("_value", value)
-    tops = ranged.groupBy(*keys, "_range").agg(F.max("_value").alias("_top"))
+    keys, outs = list(keys), list(values)
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width).cast("bigint")).withColumns({f"_v_{c}": x for c, x in values.items()})
+    tops = ranged.groupBy(*keys, "_range").agg(*[F.max(f"_v_{c}").alias(f"_t_{c}") for c in outs])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_range").alias("_r"), F.max("_top").over(before).alias("_carry")
-    ).where(F.col("_carry").isNotNull())
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_range").alias("_r"), *[F.max(f"_t_{c}").over(before).alias(f"_c_{c}") for c in outs]
+    ).where(F.coalesce(*[F.when(F.col(f"_c_{c}").isNotNull(), 1) for c in outs]).isNotNull())
     inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_range") == F.col("_r")
     for i, c in enumerate(keys):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    local = ranged.withColumn("_local", F.max("_value").over(inside))
-    return local.join(carried, same, "left").withColumn(out, F.greatest(F.coalesce("_local", "_carry"), F.coalesce("_carry", "_local"))).select(*df.columns, out)
+    local = ranged.withColumns({f"_l_{c}": F.max(f"_v_{c}").over(inside) for c in outs}).join(carried, same, "left")
+    both = {c: F.greatest(F.coalesce(f"_l_{c}", f"_c_{c}"), F.coalesce(f"_c_{c}", f"_l_{c}")) for c in outs}
+    return local.select(*df.columns, *[x.alias(c) for c, x in both.items()])
