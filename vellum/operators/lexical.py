@@ -24,13 +24,17 @@ SCORE_DIGITS = 9  # float sums differ in the last bits between partitionings
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings (ids, term, tf, dl), one stats row (n_docs, avg_len) and the source columns."""
+    """Postings (ids, term, tf, dl), one stats row (n_docs, avg_len) and the source columns.
+
+    ``freq`` (term, df) is there where document frequencies are kept; else they are counted from the postings.
+    """
 
     postings: DataFrame
     stats: DataFrame
     docs: DataFrame
     ids: tuple[str, ...]
     cols: tuple[str, ...]
+    freq: DataFrame | None = None
 
 
 def _joined(c: str, df: DataFrame) -> Column:
@@ -134,9 +138,10 @@ def _saturated(tf: Column, dl: Column, avg_len: Column) -> Column:
 def weigh_terms(index: TextIndex, terms: DataFrame) -> DataFrame:
     """Add document frequency, inverse document frequency and collection stats to query terms."""
     wanted = terms.select("term").distinct()
-    freq = (
-        index.postings.select("term").join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    )
+    if index.freq is not None:
+        freq = index.freq.join(wanted, "term", "left_semi")
+    else:
+        freq = index.postings.select("term").join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     return (
         terms.join(freq, "term", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))

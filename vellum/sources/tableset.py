@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,15 +95,20 @@ class TableSet:
         self._list(version + 1, old + new)
         return version + 1
 
-    def compacted(self) -> int:
-        """Write the live rows of every table as one segment and publish that; readers of older versions aren't disturbed."""
+    def compacted(self, merged: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> int:
+        """Write the live rows of every table as one segment and publish that; readers of older versions aren't disturbed.
+
+        ``merged`` says how the rows of a table are put together, where there is more to do than to copy them.
+        """
+        merge = merged or {}
         known = self.segments()
         if not known:
             return 0
         last = max(r.batch for r in known)
         names = {r.batch_name: r.batch for r in known}
         newest = max(names, key=names.get)
-        rows = [(newest, last, name, *self._write(self.read(name), last, name)) for name in sorted({r.name for r in known} - {GONE})]
+        live = {name: self.read(name) for name in sorted({r.name for r in known} - {GONE, ""})}
+        rows = [(newest, last, name, *self._write(merge[name](x) if name in merge else x, last, name)) for name, x in live.items()]
         # the other batches' names stay known, so that a replay of them stays harmless
         rows += [(n, b, "", "", "") for n, b in names.items() if n != newest]
         version = self.version() + 1

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.operators import lexical as lx
 from vellum.operators import vector as vc
+from vellum.operators.layers import PAPER_INDEX_COLS
+from vellum.operators.segmented import SegmentedIndex
+from vellum.session import shared_dir
 from vellum.suite import views as v
 from vellum.suite.registry import query
 
@@ -64,6 +69,35 @@ def search_any_term(spark, sf):
     return _six(lx.best(hits, ["paper_id"], 10), "score")
 
 
+def _segmented(spark, sf):
+    """The papers' index by batches: half of the papers, some with other titles, and papers that are deleted again; then the rest and the right titles."""
+    p = v.papers(spark, sf).select("doc_id", "paper_id", *PAPER_INDEX_COLS)
+    i = F.col("doc_id")
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/segmented-{uuid.uuid4().hex}", PAPER_INDEX_COLS)
+    old = F.when(i % 4 == 0, F.lit("an older title")).otherwise(F.col("title"))
+    index.update("first", p.where(i % 2 == 0).withColumn("title", old))
+    index.update("extra", p.where(i % 3 == 0).withColumn("paper_id", F.concat(F.lit("X"), "paper_id")))
+    index.merge()
+    index.update("second", p.where((i % 2 == 1) | (i % 4 == 0)), p.where(i % 3 == 0).select(F.concat(F.lit("X"), "paper_id").alias("paper_id")))
+    index.update("second", p.where(i % 2 == 0).withColumn("title", F.lit("a replay that must not count")))
+    return index.index()
+
+
+@query("""select query_id, paper_id, round(score, 6) as score, rank from (
+  select *, row_number() over (partition by query_id order by score desc, paper_id) as rank from phit) where rank <= 10""")
+def segmented_search(spark, sf):
+    """The any-term search over an index that was built by inserts, updates and deletions."""
+    hits = lx.match_any(_segmented(spark, sf), lx.query_terms(v.queries(spark, sf)), k=10)
+    return _six(lx.best(hits, ["paper_id"], 10), "score")
+
+
+@query("select term, count(*) as df from ppost group by 1 union all select null, n::bigint from pstat")
+def segmented_frequencies(spark, sf):
+    """Document frequencies kept by changes, and the number of documents."""
+    index = _segmented(spark, sf)
+    return index.freq.unionByName(index.stats.select(F.lit(None).cast("string").alias("term"), F.col("n_docs").alias("df")))
+
+
 @query("""select query_id, paper_id, round(score, 6) as score from phit""")
 def bm25_scores(spark, sf):
     return _six(lx.match_any(paper_index(spark, sf), lx.query_terms(v.queries(spark, sf))), "score")
