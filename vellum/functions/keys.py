@@ -67,7 +67,7 @@ def bibtex_key(title: Column, year: Column, author: Column) -> Column:
 def bib_keys(bib: Column) -> Column:
     """Entry keys in a BibTeX text, in order."""
     return F.transform(
-        F.regexp_extract_all(text_or_empty(bib), F.lit(r"@\w+\{([^,]+),"), F.lit(1)), F.trim
+        F.regexp_extract_all(text_or_empty(bib), F.lit(r"@\w+\{([^,]+),"), F.lit(1)), lambda k: F.trim(k)
     )
 
 
