@@ -4,7 +4,8 @@ The line formats are scans that carry a small state from line to line: whether t
 the last heading, how many paragraphs there were. Each part of the state is a running maximum or
 total over the lines, which adds up over ranges of lines, so a very long document is dealt out to
 several tasks. A paragraph starts at a text line that doesn't follow one; its number is the number of
-such starts up to it, and its lines are put together by that number.
+such starts up to it. The scans carry kinds and headings of lines, not their text; where each paragraph's
+lines are comes back to the document, whose text is dealt out once.
 
 Defined cases: null text is empty and has no paragraphs; white space around lines is dropped; documents are
 named by a unique id.
@@ -48,11 +49,11 @@ def _markdown(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     lines = _lines(docs, key, text)
     level, heading = F.length(F.regexp_extract("line", MARKDOWN_HEADER, 1)), _strip(F.regexp_extract("line", MARKDOWN_HEADER, 2))
     lines = lines.withColumn("kind", F.when(level > 0, F.lit("head")).when(F.col("line") == "", "blank").otherwise("text"))
-    lines = lines.withColumns({"heading": F.when(level > 0, heading), "_top": level == 1})
+    lines = lines.select("id", "pos", "kind", F.when(level > 0, heading).alias("heading"), (level == 1).alias("_top"))
     seen = {"_after_text": F.when(F.col("kind") == "text", 1), "_after_top": F.when(F.col("_top"), 1)}
     lines = running_maxima(lines, ["id"], "pos", seen, width)
     title = F.col("_top") & F.col("_after_text").isNull() & F.col("_after_top").isNull()
-    return lines.withColumn("kind", F.when(title, "title").otherwise(F.col("kind"))).select("id", "pos", "line", "kind", "heading")
+    return lines.withColumn("kind", F.when(title, "title").otherwise(F.col("kind"))).select("id", "pos", "kind", "heading")
 
 
 def _latex(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -77,12 +78,16 @@ def paragraphs(docs: DataFrame, form: str, key: str = "doc_id", text: str = "tex
     if form == "latex":
         lines = lines.where("kind <> 'title'")  # ends no paragraph
     state = {"_last": F.struct("pos", (F.col("kind") == "text").alias("is_text")), "_head": F.when(F.col("kind") == "head", F.struct("pos", "heading"))}
-    lines = running_maxima(lines, ["id"], "pos", state, width).where("kind = 'text'")
+    lines = running_maxima(lines.select("id", "pos", "kind", "heading"), ["id"], "pos", state, width).where("kind = 'text'")
     first = F.when(F.coalesce(F.col("_last.is_text"), F.lit(False)), 0).otherwise(1)
     lines = running_total(lines.withColumn("_first", first.cast("bigint")), ["id"], "pos", "_first", "paragraph_index", width)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ")
-    section = F.coalesce(F.min("_head.heading"), F.lit(PREAMBLE))
-    return lines.groupBy(F.col("id").alias(key), "paragraph_index").agg(section.alias("section"), body.alias("text"))
+    section = F.coalesce(F.min("_head.heading"), F.lit(PREAMBLE)).alias("section")
+    places = lines.groupBy("id", "paragraph_index").agg(section, F.array_sort(F.collect_list("pos")).alias("at"))
+    places = places.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "section", "at"))).alias("_p"))  # of one document
+    whole = docs.select(F.col(key).alias("id"), F.split(tx.text_or_empty(text), "\n").alias("_lines")).join(places, "id")
+    body = lambda p: F.array_join(F.transform(p["at"], lambda i: _strip(F.get("_lines", i.cast("int")))), " ")
+    put = F.transform("_p", lambda p: F.struct(p["paragraph_index"].alias("paragraph_index"), p["section"].alias("section"), body(p).alias("text")))
+    return whole.select(F.col("id").alias(key), F.inline(put))
 
 
 def outlines(docs: DataFrame, form: str, key: str = "doc_id", text: str = "text", width: int = RANGE_WIDTH) -> DataFrame:
