@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
-NAMES = ["descendants", "results", "discover", "resolve_citation_query", "search_all_terms", "search_any_term", "in_degrees", "op2_mixing", "op10_quality_rules"]
+NAMES = ["descendants", "results", "discover", "resolve_citation_query", "search_all_terms", "search_any_term", "in_degrees", "suffixed_keys", "allocate_ids", "paper_keys", "citation_gaps", "markdown_outlines"]
 
 
 def plain(v):
