@@ -33,10 +33,15 @@ before it is judged.
 Counts come from all labelled rows that may be learnt from. They are a Spark table
 with one row for each word and each pair, keyed by whole codes (32 bits a word, 64 a
 pair), which grows with the input; a pair's row also has its word's counts. A pair seen
-after one word only backs off wholly, so it needs no row. Broadcast to the documents are
-the log-ratios that pruning leaves: those of words, and those of pairs that differ from
-their word's. The curve is fitted on at most ``FIT_ROWS`` labelled rows, taken by hash of
-the id, with the counts of what these rows hold.
+after one word only has no row and is judged like one never seen.
+
+Nothing that grows with the corpus passes through the driver. What pruning leaves is a
+Spark table too: the log-ratio of each word, and of each pair what it adds to its word's.
+Documents send the words and pairs that a bit table of bounded size lets through (a full
+table only lets more through) to a join with it, once for each different text, and the sums come back by the
+text's digest. The curve is fitted on at most ``fit_rows`` labelled rows, taken by hash of
+the id; in slices they meet the counts of what they hold, and only a number and a
+label of each come to the driver. Sums are of whole numbers, so reruns agree to the last bit.
 
 Defined cases: a null text is an empty one; an empty text scores as one without
 any evidence; an id with several labels is toxic if one of them is; labels that
@@ -66,6 +71,14 @@ PRUNE = 1.0
 #: Normalised differences beyond this say no more.
 FAR = 2.0
 FIT_ROWS = 20_000
+#: Parts of the fitted rows; a task holds one.
+FIT_SLICES = 128
+#: Log-ratios are added up in units of this part of one.
+UNIT = 1 << 24
+#: Size of the bit table of expressions that say something, at most (16 MB).
+MOST_BITS = 1 << 27
+#: Copies of a hot expression's or a hot text's row, so that its partners meet it in many tasks.
+SALTS = 16
 #: Labels up to this number are broadcast to the documents (a few MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _PUNCTUATION = np.zeros(256, bool)
@@ -130,20 +143,25 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[np.ndarray]]:
     """Columns of rows that come sorted by a key, cut so that rows of one key stay together."""
-    rest: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
+    joined = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
     for some in batches:
         if some.num_rows == 0:
             continue
         at = some.schema.names.index(key)
         columns = [x.to_numpy() for x in some.columns]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        cut = int(np.searchsorted(columns[at], columns[at][-1]))  # the last key may go on
-        if cut:
-            yield [x[:cut] for x in columns]
-        rest = [x[cut:] for x in columns]
-    if rest is not None:
-        yield rest
+        last = columns[at][-1]
+        if held and held[0][at][-1] == last:  # the whole batch is of the key that is held
+            held.append(columns)
+            continue
+        cut = int(np.searchsorted(columns[at], last))  # the last key may go on
+        held.append([x[:cut] for x in columns])
+        if whole := joined():
+            if len(whole[0]):
+                yield whole
+        held = [[x[cut:] for x in columns]]
+    if held:
+        yield joined()
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +253,10 @@ def log_ratios(c: list[np.ndarray], n: list[np.ndarray], shares: list[np.ndarray
 
 
 def features(ratios: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Per text: difference of the log-likelihoods per square root of the words, within bounds, and 1."""
-    sums = np.concatenate([[0.0], np.cumsum(ratios)]) if len(ratios) else np.zeros(1)
+    """Per text: difference of the log-likelihoods per square root of the words, within bounds, and 1; ``ratios`` are in units."""
+    sums = np.concatenate([[0], np.cumsum(ratios)]) if len(ratios) else np.zeros(1)
     total, size = sums[bounds[1:]] - sums[bounds[:-1]], np.maximum(np.diff(bounds), 1)
-    return np.stack([np.clip(total / np.sqrt(size), -FAR, FAR), np.ones(len(size))], axis=1)
+    return np.stack([np.clip(total / UNIT / np.sqrt(size), -FAR, FAR), np.ones(len(size))], axis=1)
 
 
 @dataclass
@@ -270,20 +288,6 @@ class Counted:
             c[k][here] = np.maximum(c[k][here] - times[at], 0)
 
 
-@dataclass
-class Models:
-    """What both models say: log-ratios of words that are not 0, and of pairs that are not their word's."""
-
-    pair: Table
-    word: Table
-
-    def ratios(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        at, there = self.pair.find(pairs(codes, bounds))
-        ratio = self.word.get(codes)[0]
-        ratio[there] = self.pair.values[0][at[there]]
-        return ratio
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Weights of a logistic curve, by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -297,15 +301,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 @dataclass
-class Scorer:
-    models: Models | None
-    weights: np.ndarray
+class Fitted:
+    """``kind, code, value`` of all expressions that say something (none without both classes), and the curve."""
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        if self.models is None:
-            return np.zeros(len(column))
-        codes, bounds = word_codes(column)
-        return 1 / (1 + np.exp(-np.clip(features(self.models.ratios(codes, bounds), bounds) @ self.weights, -30, 30)))
+    said: DataFrame | None
+    weights: np.ndarray
 
 
 def _learnable(labels: DataFrame) -> DataFrame:
@@ -327,35 +327,63 @@ def counts_of(texts: DataFrame) -> DataFrame:
     )
 
 
-def _tables(rows: pa.Table, values: list[str]) -> list[Table]:
-    kind, code = rows.column("kind").to_numpy(), rows.column("code").to_numpy()
-    return [Table(code[kind == k], [rows.column(c).to_numpy()[kind == k] for c in values]) for k in (0, 1)]
-
-
 def _said(counts: DataFrame, shares: list[np.ndarray]) -> DataFrame:
-    """``kind, code, ratio`` of the words whose log-ratio is not 0 and of the pairs whose log-ratio is not their word's."""
+    """``kind, code, value``: the log-ratio of each word, and what that of each pair adds to its word's; those that are not 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
             kind, code, *numbers = (x.to_numpy() for x in some.columns)
             c, n = [x.astype(float) for x in numbers[:2]], [x.astype(float) for x in numbers[2:]]
             word = log_ratios([x * 0 for x in n], n, shares)
-            ratio = np.where(kind == 0, log_ratios(c, n, shares), word)
-            keep = ratio != np.where(kind == 0, word, 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, code, ratio)], names=["kind", "code", "ratio"])
+            value = in_units(np.where(kind == 0, log_ratios(c, n, shares), word)) - np.where(kind == 0, in_units(word), 0)
+            keep = value != 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, code, value)], names=["kind", "code", "value"])
+
+    return counts.mapInArrow(work, "kind int, code bigint, value bigint")
+
 
-    return counts.mapInArrow(work, "kind int, code bigint, ratio double")
+def in_units(ratios: np.ndarray) -> np.ndarray:
+    return np.round(ratios * UNIT).astype(np.int64)
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``slice, kind, code`` of the texts' words and pairs, each once in a piece of a slice."""
     for some in slices(batches):
         codes, bounds = word_codes(some.column("text"))
-        found = [np.unique(x) for x in (pairs(codes, bounds), codes)]
-        kind = np.repeat(np.array([0, 1], np.int32), [len(x) for x in found])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate(found).view(np.int64))], names=["kind", "code"])
+        part = np.repeat(some.column("slice").to_numpy().astype(np.int32), np.diff(bounds))
+        both = pairs(codes, bounds)
+        for k in np.unique(part).tolist():
+            found = [np.unique(x[part == k]) for x in (both, codes)]
+            kind = np.repeat(np.array([0, 1], np.int32), [len(x) for x in found])
+            names = ["slice", "kind", "code"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kind), k, np.int32)), pa.array(kind), pa.array(np.concatenate(found).view(np.int64))], names=names)
+
+
+def _curve(chosen: DataFrame, counts: DataFrame, shares: list[np.ndarray]) -> np.ndarray | None:
+    """Weights of the curve over ``doc_id, text, toxic`` rows; None if all have the same label."""
+    rows = chosen.select(F.pmod(F.xxhash64("doc_id"), F.lit(FIT_SLICES)).cast("int").alias("slice"), "text", "toxic")
+    within = rows.select("slice", "text").mapInArrow(_codes, "slice int, kind int, code bigint").distinct()
+    known = counts.select("kind", "code", "c0", "c1").join(within, ["kind", "code"]).select("slice", "kind", "code", "c0", "c1")
+
+    def judged(texts: pa.Table, numbers: pa.Table) -> pa.Table:
+        kind, code = numbers.column("kind").to_numpy(), numbers.column("code").to_numpy()
+        counted = Counted(*(Table(code[kind == k], [numbers.column(c).to_numpy()[kind == k] for c in ("c0", "c1")]) for k in (0, 1)), shares)
+        found = [np.zeros(0)]
+        for some in slices(texts.to_batches()):
+            codes, bounds = word_codes(some.column("text"))
+            ratios = in_units(counted.ratios(codes, bounds, some.column("toxic").to_numpy(zero_copy_only=False)))
+            found.append(features(ratios, bounds)[:, 0])
+        return pa.table({"x": pa.array(np.concatenate(found)), "toxic": texts.column("toxic")})
+
+    got = rows.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(judged, "x double, toxic int").toArrow()  # at most the rows fitted
+    x, toxic = (got.column(c).to_numpy() for c in ("x", "toxic"))
+    if len(toxic) == 0 or toxic.min() == toxic.max():
+        return None
+    order = np.lexsort((toxic, x))  # the same sums in every run
+    return logistic(np.stack([x, np.ones(len(x))], axis=1)[order], toxic[order])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Fitted:
     """Count both models over all learnable rows and fit the curve."""
     known = _learnable(labels.select("doc_id", "toxic"))
     texts = docs.select("doc_id", "text").where(~held_out())
@@ -365,46 +393,90 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     sums = np.zeros((2, 2, 64))
     for r in counts.groupBy("kind", level).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).collect():
         sums[r["kind"], :, r["level"]] = r["c0"], r["c1"]
-    none = Scorer(None, np.zeros(2))
     if sums[1].sum(axis=1).min() == 0:
-        return none
+        return Fitted(None, np.zeros(2))
     shares = [class_shares(x) for x in sums]
-    models = Models(*_tables(_said(counts, shares).toArrow(), ["ratio"]))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    chosen = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    within = chosen.select("text").mapInArrow(_codes, "kind int, code bigint").distinct()
-    of_these = counts.select("kind", "code", "c0", "c1").join(within, ["kind", "code"], "left_semi")
-    held = docs.sparkSession.sparkContext.broadcast(Counted(*_tables(of_these.toArrow(), ["c0", "c1"]), shares))
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in slices(batches):
-            own = some.column("toxic").to_numpy(zero_copy_only=False)
-            codes, bounds = word_codes(some.column("text"))
-            x = features(held.value.ratios(codes, bounds, own), bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), some.column("toxic")], names=["x", "toxic"])
+    weights = _curve(texts.join(F.broadcast(sample), "doc_id"), counts, shares)
+    if weights is None:
+        return Fitted(None, np.zeros(2))
+    return Fitted(table(_said(counts, shares), "toxicity-ratios"), weights)
 
-    rows = chosen.mapInArrow(judged, "x double, toxic int").toArrow()
-    x, toxic = (rows.column(c).to_numpy() for c in ("x", "toxic"))
-    if len(toxic) == 0 or toxic.min() == toxic.max():
-        return none
-    order = np.lexsort((toxic, x))  # the same sums in every run
-    return Scorer(models, logistic(np.stack([x, np.ones(len(x))], axis=1)[order], toxic[order]))
 
+def _marks(kind: np.ndarray | int, code: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each expression in a table of so many."""
+    return mix(code.view(np.uint64) * U64(2) + np.asarray(kind).astype(np.uint64)) & U64(bits - 1)
 
-def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """All columns of the documents, and ``score`` (0 to 1) and ``predicted`` (1 if 0.5 or more)."""
-    docs = replaced(docs, ["score", "predicted"])
-    held = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in slices(batches):
-            s = held.value.scores(some.column("text"))
+def bits_of(said: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """A table of at most ``most`` bits, with the bit of each expression set; some 16 bits an expression below that."""
+    bits = max(1 << 12, min(most, 1 << (16 * said.count()).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            marks = _marks(some.column("kind").to_numpy(), some.column("code").to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((marks >> U64(6)).astype(np.int64)), pa.array((U64(1) << (marks & U64(63))).view(np.int64))], names=["place", "bits"])
+
+    found = said.select("kind", "code").mapInArrow(places, "place bigint, bits bigint").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _uses(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``digest, size, kind, code, times`` of the words and pairs of each text that may say something."""
+    for some in slices(batches):
+        codes, bounds = word_codes(some.column("text"))
+        size = np.diff(bounds)
+        text = np.repeat(np.arange(len(size)), size)
+        for kind, every in ((0, pairs(codes, bounds)), (1, codes)):
+            marks = _marks(kind, every, len(bits) * 64)
+            may = (bits[marks >> U64(6)] >> (marks & U64(63))) & U64(1) == 1
+            of, code = text[may], every[may]
+            order = np.lexsort((code, of))
+            of, code = of[order], code[order]
+            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (code[1:] != code[:-1]))) if len(of) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(of)))
+            of, code = of[first], code[first]
             yield pa.RecordBatch.from_arrays(
-                [*some.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*some.schema.names, "score", "predicted"]
+                [some.column("digest").take(pa.array(of)), pa.array(size[of]), pa.array(np.full(len(of), kind, np.int32)), pa.array(code.view(np.int64)), pa.array(times.astype(np.int64))],
+                names=["digest", "size", "kind", "code", "times"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(work, f"{fields}, score double, predicted int")
+
+def evidence(docs: DataFrame, said: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """``digest, x`` of the different texts that say something: see :func:`features`. The digest is that of :func:`_digest`."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(said, most))
+    uses = docs.select(_digest().alias("digest"), "text").mapInArrow(lambda b: _uses(b, shared.value), "digest binary, size bigint, kind int, code bigint, times bigint")
+    # copies of a text say the same: one of them counts
+    uses = uses.groupBy("digest", "kind", "code").agg(F.max("size").alias("size"), F.max("times").alias("times"))
+    uses = uses.withColumn("salt", F.pmod(F.hash("digest"), F.lit(SALTS)))
+    salted = said.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sums = uses.join(salted, ["kind", "code", "salt"]).groupBy("digest").agg(F.sum(F.col("times") * F.col("value")).alias("total"), F.max("size").alias("size"))
+    x = F.col("total") / F.lit(UNIT) / F.sqrt("size")
+    found = table(sums.select("digest", F.greatest(F.lit(-FAR), F.least(F.lit(FAR), x)).alias("x")), "toxicity-evidence")
+    shared.destroy()
+    return found
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """All columns of the documents, and ``score`` (0 to 1) and ``predicted`` (1 if 0.5 or more)."""
+    docs = replaced(docs, ["score", "predicted"])
+    if fitted.said is None:
+        return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
+    slope, base = (float(w) for w in fitted.weights)
+    keys = ["_toxicity_text", "_toxicity_salt"]
+    found = evidence(docs, fitted.said).withColumnRenamed("digest", keys[0])
+    found = found.withColumn(keys[1], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("x", "_toxicity_x")
+    dealt = docs.withColumn(keys[0], _digest()).withColumn(keys[1], F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    z = F.coalesce("_toxicity_x", F.lit(0.0)) * slope + base
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    joined = dealt.join(found, keys, "left").withColumn("score", score).drop(*keys, "_toxicity_x")
+    return joined.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
