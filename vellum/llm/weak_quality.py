@@ -276,13 +276,14 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     below = int(min(1.0, 0.9 * fit_rows / max(total, 1)) * (1 << 32)) if total > fit_rows else 1 << 32
     key = F.xxhash64("doc_id", "text")
     chosen = texts.withColumn("key", key).where(F.pmod(key, F.lit(1 << 32)) < below).where("text is not null")
-    rows = chosen.select("key", "text").mapInArrow(prepared, "key bigint, label double, places binary, values binary").limit(fit_rows).toArrow().sort_by("key")
-    pairs = [
-        (np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32).astype(float))
-        for p, v in zip(rows.column("places"), rows.column("values"), strict=True)
-    ]
-    if pairs:
-        linear.train(pairs, rows.column("label").to_numpy())
+    rows = chosen.select("key", "text").mapInArrow(prepared, "key bigint, label double, places binary, values binary").limit(fit_rows).toArrow()
+    order = np.argsort(rows.column("key").to_numpy(), kind="stable")
+    # views of the rows' own memory, not copies
+    places, values = ([np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)] for c, kind in (("places", np.int32), ("values", np.float32)))
+    if len(order):
+        linear.train([(places[i], values[i]) for i in order], rows.column("label").to_numpy()[order])
+    del rows, places, values
+    pa.default_memory_pool().release_unused()
     return Classifier(model, linear)
 
 
