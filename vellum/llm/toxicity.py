@@ -37,11 +37,13 @@ after one word only has no row and is judged like one never seen.
 
 Nothing that grows with the corpus passes through the driver. What pruning leaves is a
 Spark table too: the log-ratio of each word, and of each pair what it adds to its word's.
-Documents send the words and pairs that a bit table of bounded size lets through (a full
-table only lets more through) to a join with it, once for each different text, and the sums come back by the
-text's digest. The curve is fitted on at most ``fit_rows`` labelled rows, taken by hash of
-the id; in slices they meet the counts of what they hold, and only a number and a
-label of each come to the driver. Sums are of whole numbers, so reruns agree to the last bit.
+The most common of these (whole levels of commonness, at most ``HEAD`` expressions) are
+broadcast and added up where the documents are. For the others documents send the words and pairs
+that a bit table of bounded size lets through (a full table only lets more through) to a
+join, once for each different text, and the sums come back by the text's digest. The curve
+is fitted on at most ``fit_rows`` labelled rows, taken by hash of the id; in slices they meet
+the counts of what they hold, and only a number and a label of each come to the driver.
+Sums are of whole numbers, so reruns agree to the last bit.
 
 Defined cases: a null text is an empty one; an empty text scores as one without
 any evidence; an id with several labels is toxic if one of them is; labels that
@@ -75,7 +77,9 @@ FIT_ROWS = 20_000
 FIT_SLICES = 128
 #: Log-ratios are added up in units of this part of one.
 UNIT = 1 << 24
-#: Size of the bit table of expressions that say something, at most (16 MB).
+#: Expressions whose log-ratios are broadcast, at most (20 MB).
+HEAD = 1_000_000
+#: Size of the bit table of the others, at most (16 MB).
 MOST_BITS = 1 << 27
 #: Copies of a hot expression's or a hot text's row, so that its partners meet it in many tasks.
 SALTS = 16
@@ -234,6 +238,11 @@ class Table:
         at, there = self.find(code)
         return [np.where(there, x[at] if len(x) else 0, 0).astype(float) for x in self.values]
 
+    def exact(self, code: np.ndarray) -> np.ndarray:
+        """The first value of each code as a whole number, 0 where there is none."""
+        at, there = self.find(code)
+        return np.where(there, self.values[0][at], 0) if len(self.code) else np.zeros(len(code), np.int64)
+
 
 def class_shares(sums: np.ndarray) -> np.ndarray:
     """Shares of the classes among expressions of each level of commonness, from their counts by class and level."""
@@ -302,7 +311,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 @dataclass
 class Fitted:
-    """``kind, code, value`` of all expressions that say something (none without both classes), and the curve."""
+    """``kind, code, value, level`` of all expressions that say something (none without both classes), and the curve."""
 
     said: DataFrame | None
     weights: np.ndarray
@@ -328,7 +337,10 @@ def counts_of(texts: DataFrame) -> DataFrame:
 
 
 def _said(counts: DataFrame, shares: list[np.ndarray]) -> DataFrame:
-    """``kind, code, value``: the log-ratio of each word, and what that of each pair adds to its word's; those that are not 0."""
+    """``kind, code, value, level``: the log-ratio of each word, and what that of each pair adds to its word's; those that are not 0.
+
+    ``level`` is higher the more common an expression is, eight levels for each doubling.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -337,9 +349,10 @@ def _said(counts: DataFrame, shares: list[np.ndarray]) -> DataFrame:
             word = log_ratios([x * 0 for x in n], n, shares)
             value = in_units(np.where(kind == 0, log_ratios(c, n, shares), word)) - np.where(kind == 0, in_units(word), 0)
             keep = value != 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, code, value)], names=["kind", "code", "value"])
+            level = (8 * np.log2(c[0] + c[1] + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, code, value, level)], names=["kind", "code", "value", "level"])
 
-    return counts.mapInArrow(work, "kind int, code bigint, value bigint")
+    return counts.mapInArrow(work, "kind int, code bigint, value bigint, level int")
 
 
 def in_units(ratios: np.ndarray) -> np.ndarray:
@@ -409,8 +422,8 @@ def _marks(kind: np.ndarray | int, code: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_of(said: DataFrame, most: int = MOST_BITS) -> np.ndarray:
-    """A table of at most ``most`` bits, with the bit of each expression set; some 16 bits an expression below that."""
-    bits = max(1 << 12, min(most, 1 << (16 * said.count()).bit_length()))
+    """A table of at most ``most`` bits, with the bit of each expression set; some 64 bits an expression below that."""
+    bits = max(1 << 12, min(most, 1 << (64 * said.count()).bit_length()))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -424,7 +437,7 @@ def bits_of(said: DataFrame, most: int = MOST_BITS) -> np.ndarray:
 
 
 def _uses(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``digest, size, kind, code, times`` of the words and pairs of each text that may say something."""
+    """``digest, kind, code, times`` of the words and pairs of each text that may say something."""
     for some in slices(batches):
         codes, bounds = word_codes(some.column("text"))
         size = np.diff(bounds)
@@ -439,44 +452,75 @@ def _uses(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.Re
             times = np.diff(np.append(first, len(of)))
             of, code = of[first], code[first]
             yield pa.RecordBatch.from_arrays(
-                [some.column("digest").take(pa.array(of)), pa.array(size[of]), pa.array(np.full(len(of), kind, np.int32)), pa.array(code.view(np.int64)), pa.array(times.astype(np.int64))],
-                names=["digest", "size", "kind", "code", "times"],
+                [some.column("digest").take(pa.array(of)), pa.array(np.full(len(of), kind, np.int32)), pa.array(code.view(np.int64)), pa.array(times.astype(np.int64))],
+                names=["digest", "kind", "code", "times"],
             )
 
 
-def evidence(docs: DataFrame, said: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """``digest, x`` of the different texts that say something: see :func:`features`. The digest is that of :func:`_digest`."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits_of(said, most))
-    uses = docs.select(_digest().alias("digest"), "text").mapInArrow(lambda b: _uses(b, shared.value), "digest binary, size bigint, kind int, code bigint, times bigint")
+def tail_sums(docs: DataFrame, tail: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """``digest, sum`` of the log-ratios of these expressions in each different text that has one."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits_of(tail, most))
+    uses = docs.select(_digest().alias("digest"), "text").mapInArrow(lambda b: _uses(b, shared.value), "digest binary, kind int, code bigint, times bigint")
     # copies of a text say the same: one of them counts
-    uses = uses.groupBy("digest", "kind", "code").agg(F.max("size").alias("size"), F.max("times").alias("times"))
+    uses = uses.groupBy("digest", "kind", "code").agg(F.max("times").alias("times"))
     uses = uses.withColumn("salt", F.pmod(F.hash("digest"), F.lit(SALTS)))
-    salted = said.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sums = uses.join(salted, ["kind", "code", "salt"]).groupBy("digest").agg(F.sum(F.col("times") * F.col("value")).alias("total"), F.max("size").alias("size"))
-    x = F.col("total") / F.lit(UNIT) / F.sqrt("size")
-    found = table(sums.select("digest", F.greatest(F.lit(-FAR), F.least(F.lit(FAR), x)).alias("x")), "toxicity-evidence")
+    salted = tail.select("kind", "code", "value").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sums = uses.join(salted, ["kind", "code", "salt"]).groupBy("digest").agg(F.sum(F.col("times") * F.col("value")).alias("sum"))
+    found = table(sums, "toxicity-tail")
     shared.destroy()
     return found
 
 
+def parted(said: DataFrame, most: int = HEAD) -> tuple[list[Table], DataFrame | None]:
+    """The values of the pairs and words of the highest levels, at most so many, and the table of the others if there are any."""
+    levels = sorted(((r["level"], r["count"]) for r in said.groupBy("level").count().collect()), reverse=True)
+    total, least = 0, None
+    for level, n in levels:
+        if total + n > most:
+            break
+        total, least = total + n, level
+    rest = total < sum(n for _, n in levels)
+    rows = said.where(F.lit(False) if least is None else F.col("level") >= least).select("kind", "code", "value").toArrow()
+    kind, code, value = (rows.column(c).to_numpy() for c in ("kind", "code", "value"))
+    head = [Table(code[kind == k], [value[kind == k]]) for k in (0, 1)]
+    return head, (said if least is None else said.where(F.col("level") < least)) if rest else None
+
+
 def _digest() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
+def scored(docs: DataFrame, fitted: Fitted, head: int = HEAD, bits: int = MOST_BITS) -> DataFrame:
     """All columns of the documents, and ``score`` (0 to 1) and ``predicted`` (1 if 0.5 or more)."""
     docs = replaced(docs, ["score", "predicted"])
     if fitted.said is None:
         return docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
+    common, tail = parted(fitted.said, head)
+    held = docs.sparkSession.sparkContext.broadcast(common)
+    own = ["_toxicity_sum", "_toxicity_size", "_toxicity_text", "_toxicity_salt"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches):
+            codes, bounds = word_codes(some.column("text"))
+            ratios = sum(t.exact(c) for t, c in zip(held.value, (pairs(codes, bounds), codes), strict=True))
+            sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(ratios)])
+            columns = [pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), pa.array(np.diff(bounds).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*some.columns, *columns], names=[*some.schema.names, *own[:2]])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = docs.mapInArrow(work, f"{fields}, {own[0]} bigint, {own[1]} bigint")
+    total = F.col(own[0])
+    if tail is not None:
+        found = tail_sums(docs, tail, bits).withColumnsRenamed({"digest": own[2], "sum": "_toxicity_tail"})
+        found = found.withColumn(own[3], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = out.withColumn(own[2], _digest()).withColumn(own[3], F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(found, own[2:], "left")
+        total = total + F.coalesce("_toxicity_tail", F.lit(0))
+    x = total / F.lit(UNIT) / F.sqrt(F.greatest(F.col(own[1]), F.lit(1)))
     slope, base = (float(w) for w in fitted.weights)
-    keys = ["_toxicity_text", "_toxicity_salt"]
-    found = evidence(docs, fitted.said).withColumnRenamed("digest", keys[0])
-    found = found.withColumn(keys[1], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("x", "_toxicity_x")
-    dealt = docs.withColumn(keys[0], _digest()).withColumn(keys[1], F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    z = F.coalesce("_toxicity_x", F.lit(0.0)) * slope + base
+    z = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), x)) * slope + base
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    joined = dealt.join(found, keys, "left").withColumn("score", score).drop(*keys, "_toxicity_x")
-    return joined.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = out.withColumn("score", score).drop(*own, "_toxicity_tail")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
