@@ -333,7 +333,34 @@ def test_hosts_vote(spark):
     even = '<body><div class="a"><p>' + "text " * 40 + '</p></div><div class="b2"><p>x</p></div></body>'
     rows = [(i, "http://h/", even) for i in range(3)] + [(9, "http://h/", odd_page)]
     got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert got[9] == "short words here"
+    assert got[9] == "short words here\n" + " ".join(["long"] * 40) and got[0] == " ".join(["text"] * 40) + "\nx"
+
+
+def test_main_text_is_kept_whole():
+    lead, body = "l" * 150, "b" * 850
+    text = lambda html, path=None: html_text.Page(html).text(path)
+    assert text(f'<body><div class="post"><div>{lead}</div><div>{body}</div></div></body>') == f"{lead}\n{body}"
+    assert text("<main><p>intro</p></main><article><p>more</p></article><p>out") == "intro\nmore"
+    inner = '<div class="related-work">a</div><div class="comment-on-law">b</div><p class="disclaimer">c</p><p class="ad">no</p><div class="related-posts">no</div><div id="shareButtons">no</div>'
+    assert text(f"<article>{inner}</article>") == "a\nb\nc"
+    # the host's path holds a lead that the page's own article doesn't, and is never a reason to lose the article
+    page = '<body><div class="post"><p>lead</p><article><p>text</p></article></div><p>beside</p></body>'
+    assert text(page, "html>body>div.post") == "lead\ntext" and text(page, "html>body>div.none") == text(page, "html>body") == "text"
+    assert text('<body><article><p>own</p></article><div class="x">small</div></body>', "html>body>div.x") == "own\nsmall"
+
+
+def test_memory_of_deep_pages_is_linear():
+    import tracemalloc
+
+    def peak(depth):
+        tracemalloc.start()
+        page = html_text.Page("<div>" * depth + "deep")
+        assert page.text(page.path(page.best()[0])) == "deep"
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out
+
+    assert peak(12_000) < 3 * peak(6_000)
 
 
 def test_every_page_of_the_query(spark, small):

@@ -2,19 +2,20 @@
 
 Every page is parsed leniently into block elements. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are known
-by their tags, roles and class names and left out. The remaining text outside of
-links scores the containers, and the page votes for the path of the one that
-holds nearly all of it. A path is the chain of tags with their first class,
-digits made alike. Spark counts the votes per host, and each page is then
-extracted at its host's winning path; a page without that path falls back to its
-own container.
+by their tags, roles and class names and left out. A class name counts if all its words say so
+(``related-posts``, not ``related-work``); paragraphs and the like inside an article are left out as adverts
+or comments only. A page's own main text are all its outermost article and main elements, else the innermost
+container with all text outside of links. The page votes for the path of that container (of the one with
+most text, where there are several). A path is the chain of tags with their first class, digits made alike.
+Spark counts the votes per host, and each page is then extracted anew at its host's winning path together
+with its own container, so text that only one of them holds is kept. The whole body as winner says nothing.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined by a line break in page order.
 
 Defined cases: a null or empty page, and one without text, gives an empty text; a
 null or odd address has the empty host; unclosed and crossing tags close as in a
-browser, about; repeated rows are extracted alike (and vote each); ties of a vote
+browser, about; memory grows with the page, however deep it is; repeated rows are extracted alike (and vote each); ties of a vote
 go to more text, then to the later path; an empty table gives no rows; other
 columns are not looked at.
 """
@@ -48,14 +49,20 @@ NOT_TEXT = frozenset(
     "contentinfo complementary dialog".split()
 )
 REMARKS = frozenset("comment comments disqus".split())
-NOT_ITSELF = frozenset("with has no without".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising promo sponsor sponsored".split())
+# Words that a name may have beside those above.
+PLAIN = frozenset(
+    "area article articles bar block blocks body bottom box button buttons content container div footer global header icons inner item items left "
+    "link links list main mobile module outer page panel post posts primary right row secondary section site slot thread top unit up wrap wrapper "
+    "message overlay form and".split()
+)
+# Elements that hold running text.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table tbody tr td th".split())
 # An opening p closes an open p; these close an open one of their own kind or group.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}, "body": {"head"},
 }
-#: Share of the text that a part must hold to stand for the whole.
-NEARLY_ALL = 0.8
 BROADCAST_HOSTS = 200_000
 SALTS = 64
 
@@ -73,7 +80,9 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.tags: list[str] = []
-        self.paths: list[str] = []
+        self.labels: list[str] = []
+        self.depths: list[int] = []
+        self.main: list[bool] = []  # an article or main element, or in one
         self.parents: list[int] = []
         self.out: list[bool] = []  # left out, itself or by what it lies in
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters outside of links
@@ -90,7 +99,9 @@ class Page:
         parent = self._stack[-1] if self._stack else -1
         self.tags.append(tag)
         self.parents.append(parent)
-        self.paths.append(f"{self.paths[parent]}>{tag}{label}" if parent >= 0 else tag)
+        self.labels.append(tag + label)
+        self.depths.append(self.depths[parent] + 1 if parent >= 0 else 0)
+        self.main.append(tag in ("article", "main") or (parent >= 0 and self.main[parent]))
         self.out.append(out or (parent >= 0 and self.out[parent]))
         self._stack.append(len(self.tags) - 1)
 
@@ -155,13 +166,15 @@ class Page:
             if tag == "br":
                 self._say("\n")
                 continue
-            label, names = self._named(given) if "=" in given else ("", set())
+            label, said = self._named(given) if "=" in given else ("", set())
             if tag in ("html", "body"):
                 out = False
-            elif tag in ("article", "main") or names & NOT_ITSELF:
-                out = bool(names & REMARKS)
+            elif tag in ("article", "main"):
+                out = bool(said & REMARKS)
+            elif tag in RUNNING and self.main[self._stack[-1]]:
+                out = bool(said & (REMARKS | ADVERTS))
             else:
-                out = tag in LEFT_OUT or bool(names & NOT_TEXT)
+                out = tag in LEFT_OUT or bool(said)
             if tag in BLOCKS:
                 self._flush()
                 self._inline.clear()
@@ -179,14 +192,17 @@ class Page:
 
     @staticmethod
     def _named(given: str) -> tuple[str, set[str]]:
-        """The first class with digits made alike, and the words of all names."""
-        label, names = "", set()
+        """The first class with digits made alike, and what the names say of the element: words of ``NOT_TEXT``."""
+        label, said = "", set()
         for m in _NAMED.finditer(given):
             value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "class" and value.split():
-                label = "." + _DIGITS.sub("#", value.split()[0])
-            names.update(x.lower() for x in _PIECES.findall(value))
-        return label, names
+                label = "." + _DIGITS.sub("#", value.split()[0]).replace(">", "")
+            for name in value.split():
+                words = {x.lower() for x in _PIECES.findall(name)}
+                if words <= NOT_TEXT | PLAIN:
+                    said |= words & NOT_TEXT
+        return label, said
 
     def scores(self) -> list[int]:
         score = [0] * len(self.tags)
@@ -196,24 +212,47 @@ class Page:
             score[self.parents[node]] += score[node]
         return score
 
-    def best(self) -> int:
-        """The innermost container with nearly all of the text; an article or main element is not looked into."""
+    def best(self) -> list[int]:
+        """The outermost article and main elements with text, that with most first; else the innermost container with all text."""
         score = self.scores()
-        inside = defaultdict(list)
+        whole = [0] * len(self.tags)
+        for node, text, _ in self.blocks:
+            whole[node] += len(text)
+        for node in range(len(self.tags) - 1, 0, -1):
+            whole[self.parents[node]] += whole[node]
+        named = [n for n in range(1, len(self.tags)) if whole[n] and self.main[n] and not self.main[self.parents[n]]]
+        if named:
+            return sorted(named, key=lambda n: (-score[n], n))
+        inside = [-1] * len(self.tags)  # of each element the container in it with all of its text
         for node in range(1, len(self.tags)):
-            if self.tags[node] in CONTAINERS and not self.out[node]:
-                inside[self.parents[node]].append(node)
+            parent = self.parents[node]
+            if self.tags[node] in CONTAINERS and score[node] and score[node] == score[parent]:
+                inside[parent] = node
         node = 0
-        while self.tags[node] not in ("article", "main"):
-            part = max(inside[node], key=lambda n: score[n], default=None)
-            if part is None or score[part] < NEARLY_ALL * score[node] or not score[part]:
-                break
-            node = part
-        return node
+        while inside[node] >= 0:
+            node = inside[node]
+        return [node]
+
+    def path(self, node: int) -> str:
+        labels = []
+        while node >= 0:
+            labels.append(self.labels[node])
+            node = self.parents[node]
+        return ">".join(reversed(labels))
+
+    def at(self, path: str) -> set[int]:
+        """The elements with a path."""
+        labels = path.split(">")
+        on = [False] * len(self.tags)
+        for node, (label, depth) in enumerate(zip(self.labels, self.depths, strict=True)):
+            on[node] = depth < len(labels) and label == labels[depth] and (node == 0 or on[self.parents[node]])
+        return {n for n, here in enumerate(on) if here and self.depths[n] == len(labels) - 1}
 
     def text(self, path: str | None) -> str:
-        """Text of the containers with this path, else of the page's own best one."""
-        nodes = {n for n, p in enumerate(self.paths) if p == path and not self.out[n]} or {self.best()}
+        """Text of the page's own best containers and of those with this path, unless that is the whole body."""
+        nodes = set(self.best())
+        if path is not None and path.count(">") > 1:
+            nodes |= self.at(path)
         within = [False] * len(self.tags)
         for node in range(len(self.tags)):
             within[node] = node in nodes or (node > 0 and within[self.parents[node]])
@@ -233,9 +272,9 @@ def votes(pages: DataFrame) -> DataFrame:
             found: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
             for host, html in zip(some.column("host").to_pylist(), some.column("html").to_pylist(), strict=True):
                 page = Page(html or "")
-                node = page.best()
+                node = page.best()[0]
                 if page.blocks:
-                    count = found[host, page.paths[node]]
+                    count = found[host, page.path(node)]
                     count[0] += 1
                     count[1] += page.scores()[node]
             yield pa.RecordBatch.from_pydict(
