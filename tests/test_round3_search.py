@@ -58,3 +58,20 @@ def test_scores_are_rounded_once(spark):
     index = lx.TextIndex(None, None, None, ("paper_id",), ())
     with mock.patch.object(lx, "match_all", lambda *_: literal), mock.patch.object(lx, "score_phrases", lambda *_: phrases):
         assert [r.score for r in lx.match_expanded(index, asked, digits=6).collect()] == [0.499999]
+
+
+def test_grams_of_long_texts_are_taken_in_one_pass(spark):
+    """A text of 400,000 characters; before, every gram was counted off from the start of the text. Short patterns, line breaks and wide characters count."""
+    import time
+
+    from vellum.operators.skew import substring_pairs
+
+    long = "abcdefghij" * 40_000 + "\n\U0001f600Zq"
+    texts = [long, "x\ny", "Q", "\U0001f600z", "none"]
+    asked = ["j\n\U0001f600z", "Q", "X\nY", "\U0001f600Z", "zq", "absent", ""]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    p = spark.createDataFrame([(x,) for x in asked], "p string")
+    began = time.time()
+    got = {(r.pattern, r.text) for r in substring_pairs(p, "p", t, "t").collect()}
+    assert got == {(a, b) for a in asked for b in texts if a and a.lower() in b.lower()}
+    assert time.time() - began < 60
