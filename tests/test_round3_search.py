@@ -75,3 +75,25 @@ def test_grams_of_long_texts_are_taken_in_one_pass(spark):
     got = {(r.pattern, r.text) for r in substring_pairs(p, "p", t, "t").collect()}
     assert got == {(a, b) for a in asked for b in texts if a and a.lower() in b.lower()}
     assert time.time() - began < 60
+
+
+def test_raw_tables_are_not_broadcast(spark, small):
+    from vellum.suite import views
+
+    for view in (views.paper_metrics, views.comparisons, views.formulas):
+        plan = view(spark, small)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [doc_id" in plan, plan
+
+
+def test_scans_count_with_the_size_of_their_rows(spark):
+    from vellum.session import ROWS_TO_FILE, sized
+
+    name = "spark.sql.sources.fileCompressionFactor"
+    had = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1.0")
+        assert float(sized(spark).conf.get(name)) == ROWS_TO_FILE
+        spark.conf.set(name, "3.0")
+        assert sized(spark).conf.get(name) == "3.0"
+    finally:
+        spark.conf.set(name, had)
