@@ -59,3 +59,18 @@ def test_an_index_is_one_table(spark):
     kept = lx.persisted(index)
     assert set(kept.postings.inputFiles()) == set(kept.docs.inputFiles())
     assert rows_of(kept.postings) == rows_of(index.postings) and rows_of(kept.stats) == rows_of(index.stats)
+
+
+def test_phrases_are_found_at_each_place(spark):
+    """Also where a phrase overlaps itself, repeats its rarest word or would span two columns; texts are not looked up again."""
+    docs = [("a", "x x x", "y x"), ("b", "x y x y x", None), ("c", "x", "y"), ("d", "q Y, x-y", "y y"), ("e", None, "")]
+    index = lx.build_index(spark.createDataFrame(docs, "paper_id string, one string, two string"), ["paper_id"], ["one", "two"])
+    asked = ["x x", "x y x", "y", "x y", "y x y", "absent x", ""]
+    found = lx.match_phrases(index, spark.createDataFrame([(t, t) for t in asked], "phrase_id string, text string"))
+    assert found._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 0
+    got = {(r.phrase_id, r.paper_id): r.tf for r in found.collect()}
+    tokens = {i: [x.lower().replace(",", "").replace("-", " ").split() for x in (a or "", b or "")] for i, a, b in docs}
+    places = lambda t, p: sum(t[i:i + len(p)] == p for i in range(len(t) - len(p) + 1))
+    want = {(p, i): sum(places(t, p.split()) for t in cols) for p in asked if p for i, cols in tokens.items()}
+    assert got == {k: n for k, n in want.items() if n}
+    assert {(r.paper_id, r.dl) for r in found.collect()} <= {("a", 5), ("b", 5), ("c", 2), ("d", 6)}
