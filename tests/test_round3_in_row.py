@@ -74,3 +74,19 @@ def test_phrases_are_found_at_each_place(spark):
     want = {(p, i): sum(places(t, p.split()) for t in cols) for p in asked if p for i, cols in tokens.items()}
     assert got == {k: n for k, n in want.items() if n}
     assert {(r.paper_id, r.dl) for r in found.collect()} <= {("a", 5), ("b", 5), ("c", 2), ("d", 6)}
+
+
+def test_pairs_may_bring_their_features(spark):
+    from vellum.operators import rank as rk
+
+    papers = spark.createDataFrame([("A_2000_001", 2000, "v", ["en"], ["m1"], "w1"), ("B_2001_001", None, None, [], ["m2"], "w1 w2")],
+                                   "paper_id string, year int, venue string, domain_tags array<string>, method_tags array<string>, title string")
+    queries = spark.createDataFrame([(1, "w1", 1999, None, "a", None, None), (2, "w2", None, None, None, "m2", "v")],
+                                    "query_id long, text string, year_from int, year_to int, domain string, method string, venue string")
+    index, terms = lx.build_index(papers, ["paper_id"], ["title"]), lx.query_terms(queries)
+    features = [c for c in rk.PAPER_FEATURES if c != "paper_id"]
+    brought = rk.check_pairs(lx.match_any(index, terms, also=features), queries)
+    looked_up = rk.check_pairs(lx.match_any(index, terms), queries, papers)
+    cols = ["query_id", "paper_id", "score", "year", "passes", "metadata"]
+    assert rows_of(brought.select(cols)) == rows_of(looked_up.select(cols)) and brought.count() == 3
+    assert "paper_id" not in [c for line in brought._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line for c in line.replace("#", " ").split()]
