@@ -30,9 +30,8 @@ class SegmentedIndex:
         if batch_name in self.tables.batches():
             return self.tables.version()
         key, ids = self.key, list(self.ids)
-        docs = written(docs.select(*ids, *self.cols), "new-docs")
-        index = lx.build_index(docs, ids, self.cols)
-        postings = written(index.postings, "new-postings")
+        index = lx.persisted(lx.build_index(docs.select(*ids, *self.cols), ids, self.cols))
+        docs, postings = index.docs, index.postings
         new_ids = docs.select(F.col(key).alias("id")).distinct()
         gone = new_ids if deleted is None else new_ids.unionByName(deleted.select(F.col(key).alias("id")).distinct()).distinct()
         gone = written(gone, "replaced")
@@ -45,7 +44,7 @@ class SegmentedIndex:
             old_docs = self.tables.read("docs").join(hidden, key, "left_semi")
             less = old_docs.agg((-F.count("*")).alias("n_docs"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("n_tokens"))
             size = size.unionByName(less).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        with_length = docs.withColumn("dl", F.size(lx._all_tokens(docs, self.cols)).cast("bigint"))
+        with_length = index.rows.select(*ids, *self.cols, F.col("dl").cast("bigint").alias("dl"))
         tables = {"postings": postings, "docs": with_length, "terms": changes, "sizes": size}
         return self.tables.publish(batch_name, tables, replaced=gone.where(F.col("id").isNotNull()))
 
@@ -55,7 +54,8 @@ class SegmentedIndex:
         total = read("sizes").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         stats = total.select("n_docs", F.when(F.col("n_docs") > 0, F.col("n_tokens") / F.col("n_docs")).alias("avg_len"), "n_tokens")
         freq = self._terms(read("terms"))
-        return lx.TextIndex(read("postings"), stats, read("docs").select(*self.ids, *self.cols), self.ids, self.cols, freq)
+        docs = read("docs").select(*self.ids, *self.cols)
+        return lx.TextIndex(read("postings"), stats, docs, self.ids, self.cols, freq, lx.term_rows(docs, self.cols))
 
     @staticmethod
     def _terms(changes: DataFrame) -> DataFrame:
