@@ -39,9 +39,9 @@ def _state(papers: DataFrame) -> DataFrame:
     return some.withColumns({"candidate": F.col("paper_id"), "force": F.lit(True), "entity": F.col("paper_id"), "decision": F.lit("STORED")})
 
 
-def _until(rows: DataFrame) -> DataFrame:
-    """Add the number of the row that writes the same paper next; blocked rows write none."""
-    written_rows = rows.where("decision <> 'BLOCKED'").withColumn("_back", -F.col("seq"))
+def _until(rows: DataFrame, held: list[str]) -> DataFrame:
+    """``seq, entity``, the values held, and in ``until`` the number of the row that writes the same paper next; blocked rows write none."""
+    written_rows = rows.where("decision <> 'BLOCKED'").select("seq", "entity", *held, (-F.col("seq")).alias("_back"))
     later = running_max(written_rows, ["entity"], "_back", F.col("_back"), "_next")
     return later.withColumn("until", F.coalesce(-F.col("_next"), F.lit(_EVER))).drop("_back", "_next")
 
@@ -61,7 +61,7 @@ def _holder(rows: DataFrame, holders: DataFrame, key: str, held: str, out: str)
 
 def _judged(rows: DataFrame, last: DataFrame) -> DataFrame:
     """One round: the outcome of every row of the batch, given that of the round before."""
-    holders = written(_until(last), "holders")
+    holders = written(_until(last, ["_doi", "source_hash"]), "holders")
     made = last.where("decision in ('STORED', 'INSERTED')").groupBy(F.col("entity").alias("candidate")).agg(F.min("seq").alias("_made"))
     found = rows.join(made, "candidate", "left")
     found = _holder(found, holders, "doi", "_doi", "by_doi")
@@ -72,7 +72,7 @@ def _judged(rows: DataFrame, last: DataFrame) -> DataFrame:
     decision = F.when(known | taken, F.lit("UPDATED")).when(repeated & ~F.col("force"), F.lit("BLOCKED")).otherwise("INSERTED")
     entity = F.when(known, F.col("candidate")).when(taken, F.col("by_doi")).otherwise(F.coalesce("candidate", F.concat(F.lit("#"), F.col("row").cast("string"))))
     conflict = known & taken & (F.col("by_doi") != F.col("candidate"))
-    return found.withColumns({"decision": decision, "entity": entity, "_doi": F.when(~conflict, F.col("doi")), "_known": known}).drop("_made")
+    return found.withColumns({"decision": decision, "entity": entity, "_doi": F.when(~conflict, F.col("doi")), "_known": known}).drop("_made", "row", "doi", "force")
 
 
 def resolve_identity(incoming: DataFrame, papers: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -96,12 +96,14 @@ def resolve_identity(incoming: DataFrame, papers: DataFrame, most_rounds: int =
     rows = written(rows, "incoming")
     old = _state(papers).withColumn("_doi", blank("doi")).withColumn("source_hash", blank("source_hash")).withColumn("title", blank("title"))
     old = written(old.drop("paper_id").withColumn("seq", -1 - F.monotonically_increasing_id()), "stored-papers")
-    columns = ["seq", "row", "candidate", "_doi", "source_hash", "title", "processor_version", "decision", "entity"]
-    stored = old.select(*columns)
+    # titles and versions are long and decide nothing, so the rounds do without
+    named = ["title", "processor_version"]
+    columns = ["seq", "_doi", "source_hash", "decision", "entity"]
+    stored, judged = old.select(*columns), rows.drop(*named)
     last = stored
     before: DataFrame | None = None
     for _ in range(most_rounds):
-        now = written(_judged(rows, last), "judged")
+        now = written(_judged(judged, last), "judged")
         if before is not None:
             both = now.alias("a").join(before.alias("b"), "seq")
             same = F.col("a.decision").eqNullSafe(F.col("b.decision")) & F.col("a.entity").eqNullSafe(F.col("b.entity")) & F.col("a._doi").eqNullSafe(F.col("b._doi"))
@@ -110,13 +112,13 @@ def resolve_identity(incoming: DataFrame, papers: DataFrame, most_rounds: int =
         before, last = now, stored.unionByName(now.select(*columns))
     else:
         raise ValueError(f"some rows depend on chains of more than {most_rounds} earlier rows")
-    return _explained(now, last)
+    now = now.join(rows.select("seq", *named), "seq")
+    return _explained(now, old.select(*columns, *named).unionByName(now.select(*columns, *named)))
 
 
 def _explained(now: DataFrame, last: DataFrame) -> DataFrame:
     """Matches and warnings of settled rows."""
-    holders = written(_until(last), "holders")
-    now = _holder(now, holders, "title", "title", "by_title")
+    now = _holder(now, _until(last, ["title"]), "title", "title", "by_title")
     writes = last.where("decision <> 'BLOCKED'").select("entity", "seq", "source_hash", "processor_version")
     prior = running_max(writes, ["entity"], "seq", F.struct(F.col("seq").alias("s"), "source_hash", "processor_version"), "prior").where("seq >= 0")
     now = now.join(prior.select("seq", "prior"), "seq", "left")
