@@ -55,6 +55,34 @@ def test_components_equal_brute_force(spark, width, num):
     assert [got[i].n_shingles for i in ids] == sizes
 
 
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
+def test_unlike_edits_of_one_text_are_not_compared_in_pairs(spark, monkeypatch, width, num):
+    rng = np.random.default_rng(num)
+    base, passage = [f"b{i}" for i in range(150)], [f"p{i}" for i in range(40)]
+    texts = [" ".join([f"o{n}x{i}" for i in range(110)] + passage) for n in range(100)]
+    grown: list[list[str]] = [base]
+    for n in range(300):  # edits of the text, and edits of edits
+        words = list(base if n % 3 else grown[rng.integers(len(grown))])
+        for place in rng.integers(0, 150, rng.integers(1, 14)):
+            words[place] = f"e{rng.integers(1 << 40)}"
+        grown.append(words)
+    texts += [" ".join(words) for words in grown]
+    ids = [int(i) for i in rng.permutation(len(texts))]
+    pairs, table = [], jaccard_join.table
+
+    def counted(df, name):
+        out = table(df, name)
+        pairs.append(out.count() if name == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "table", counted)
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.grouped(docs, width, num, 100).collect()}
+    assert got == brute(ids, texts, width, num, 100)[0]
+    assert 1 < len(set(got.values())) < len(texts)
+    assert sum(pairs) < 10 * len(texts)
+
+
 def test_query_equals_brute_force(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     want, sizes = brute([r.doc_id for r in rows], [r.text for r in rows], 3, 90, 100)

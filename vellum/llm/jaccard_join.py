@@ -23,11 +23,15 @@ the band below if a smaller set there could still meet the similarity. Bands wit
 ``d = 0`` need no join: only equal sets link there.
 
 Large groups of copies: equal sets are one class with one representative, before
-the join. Near copies share many words; in place of all pairs of a bucket, each
-set is first compared with the representative of the bucket that it shares most
-words with. What is then linked to one component needs no more comparing; only
-the pairs of a bucket that lie in different components are left, and all of
-those are verified. So no link between components is lost.
+the join. Near copies share many words: each set is first compared with the
+representative of the bucket that it shares most words with, and what is then
+linked to one component needs no more comparing. Of a bucket with several
+components left all pairs are compared if it is small. Members of large ones are
+told by their differences from a centre, the set of their band that shares words
+with most others. Two sets that are similar differ from it in the same elements,
+but for few, or else both are similar to it; so a join on the rarest elements of
+the differences finds the pairs, and edits of one text that went different ways
+never meet. All found pairs are verified. So no link between components is lost.
 
 Defined cases: a text without words (or null) has the empty set and no links; a
 text with fewer words than the shingle is one shingle; repeated rows and equal
@@ -256,8 +260,109 @@ def _ordered(a: str, b: str) -> list:
 BROADCAST_ROWS = 2_000_000
 
 
-def links(docs: DataFrame, found: DataFrame, width: int, num: int, den: int, rounds: int = 2) -> DataFrame:
-    """``node, root`` of the representatives that have a link: the components of all verified pairs."""
+def centres(large: DataFrame) -> DataFrame:
+    """``band, node, root, centre`` of ``key, band, node, root``: what common keys of a band tie together has one centre, the set with most company."""
+    per_key = large.groupBy("key").agg(F.min("node").alias("_lo"), F.count("*").alias("_size"))
+    met = large.join(per_key, "key").groupBy("band", "node", "root", "_lo").agg(F.sum("_size").alias("_size"))
+    met = table(met.withColumns({"at": F.struct("band", "node"), "lo": F.struct("band", F.col("_lo").alias("node"))}), "met")
+    cluster = table(components(met, "at", "lo").select(F.col("node").alias("at"), F.col("root").alias("cluster")), "clusters")
+    company = met.groupBy("at", "band", "node", "root").agg(F.sum("_size").alias("_size")).join(cluster, "at")
+    middle = company.groupBy("cluster").agg(F.max_by("node", F.struct("_size", -F.col("node"))).alias("centre"))
+    return company.join(middle, "cluster").select("band", "node", "root", "centre")
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come often within slices of the texts, at most ``COMMON`` of them by hash, and how often.
+
+    They only decide an order in which shingles are looked at, whatever they are.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
+
+        held: list[np.ndarray] = []
+        for some in slices(batches):
+            held += shingles(some.column("text"), width)
+            if sum(map(len, held)) > COUNTED:
+                yield counted()
+                held = []
+        if held:
+            yield counted()
+
+    some = texts.select("text").mapInArrow(work, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = some.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    key, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def differences(nodes: DataFrame, texts: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """``band, node, root, centre, n, size, linked, first``: what tells each node's set from its centre's.
+
+    ``size`` elements are in only one of both; ``first`` has the leading ones, those that the centre lacks before those
+    that only it has, the former from rare to common. ``linked``: the two sets meet the similarity.
+    """
+    key, often = common_shingles(texts, width)
+    names = ["band", "node", "root", "centre", "n", "size", "linked", "first"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, "t"):
+            columns: list[list] = [[], [], [], []]
+            _, which, of = np.unique(some.column("centre").to_numpy(), return_index=True, return_inverse=True)
+            centre = shingles(some.column("tc").take(pa.array(which)), width)
+            for u, c in zip(shingles(some.column("t"), width), (centre[i] for i in of.tolist()), strict=True):
+                own, lacking = np.setdiff1d(u, c, assume_unique=True), np.setdiff1d(c, u, assume_unique=True)
+                size, common = len(own) + len(lacking), len(u) - len(own)
+                row = len(u), size, common * bands.den >= (common + size) * bands.num
+                at = np.minimum(np.searchsorted(key, own), max(len(key) - 1, 0))
+                if len(key):
+                    own = own[np.argsort(np.where(key[at] == own, often[at], 0), kind="stable")]
+                first = np.concatenate([own, lacking])[: bands.most_differing(len(u)) + 1].view(np.int64)
+                for column, x in zip(columns, (*row, first), strict=True):
+                    column.append(x)
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(c) for c in names[:4]), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names=names
+            )
+
+    left = texts.select(F.col("doc_id").alias("node"), F.col("text").alias("t"))
+    right = texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("tc"))
+    both = nodes.join(left, "node").join(right, "centre").select("band", "node", "root", "centre", "t", "tc")
+    return both.mapInArrow(work, "band int, node bigint, root bigint, centre bigint, n bigint, size bigint, linked boolean, first array<bigint>")
+
+
+def kindred(found: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` pairs of one centre, not linked through it, that leave it in ways alike enough for two similar sets.
+
+    Two sets differ in what only one of their differences from the centre has. If these have ``s`` and ``t`` elements and
+    the sets may differ in ``d``, they share at least ``(s + t - d) / 2``; the first one that they share stands where so
+    many are still to come in both. If ``s + t <= d``, they need share none; but then both sets are linked with the centre.
+    """
+    root = F.when(F.col("linked"), F.col("centre")).otherwise(F.col("root"))
+    one = found.select("band", "centre", "node", root.alias("root"), "n", "size", F.posexplode("first").alias("place", "key"))
+    one = one.select("band", "centre", "key", "node", "root", "n", "size", (F.col("size") - F.col("place")).alias("rest"))
+    other = one.select("band", "centre", "key", *[F.col(c).alias(f"_{c}") for c in ("node", "root", "n", "size", "rest")])
+    most = F.floor((F.col("n") + F.col("_n")) * (den - num) / (den + num))
+    alike = 2 * F.least("rest", "_rest") >= F.col("size") + F.col("_size") - most
+    close = F.least("n", "_n") * den >= F.greatest("n", "_n") * num
+    return (
+        one.join(other, ["band", "centre", "key"])
+        .where((F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")) & alike & close)
+        .select(F.col("node").alias("a"), F.col("_node").alias("b"))
+        .distinct()
+    )
+
+
+#: Up to so many members all pairs of a bucket are compared: pairs stay in proportion to rows.
+SMALL = 16
+#: Shingles whose number is known when they are put in order (1.6 MB), and shingles of a task that are counted at a time.
+COMMON, COUNTED = 100_000, 1 << 20
+
+
+def links(docs: DataFrame, found: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``node, root`` of the representatives that have a link: the components of all verified pairs that it takes."""
     bands = Bands(num, den)
     reps = table(representatives(found), "reps")
     shared = table(shared_words(sketch_words(docs, width, bands)), "shared")
@@ -271,44 +376,29 @@ def links(docs: DataFrame, found: DataFrame, width: int, num: int, den: int, rou
     # an id that comes with several sets ties their classes together
     least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
     linked = reps.join(least, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    label: DataFrame | None = None
-    tried: DataFrame | None = None
-    step = -1
-    while step < rounds:
-        step += 1
-        if label is None:
-            open_ = buckets.withColumn("root", F.col("node"))
-        else:
-            named = buckets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            apart = named.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
-            open_ = table(named.join(apart.select("key"), "key"), "open")
-        if step < rounds:
-            head = open_.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.struct("root", "node")).alias("_h"))
-            pairs = open_.join(head, "key").where(F.col("root") != F.col("_h.root")).select(*_ordered("node", "_h.node"), "node", "band")
-            pairs = pairs.groupBy("node", "a", "b").agg(F.count("*").alias("_c"), F.min("band").alias("band"))
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            most = F.max_by(F.struct("a", "b", "band"), F.struct("_c", "a", "b")).alias("_p")
-            pairs = pairs.groupBy("node").agg(most).select("_p.a", "_p.b", "_p.band").distinct()
-        else:
-            other = open_.select("key", F.col("node").alias("_node"), F.col("root").alias("_root"))
-            pairs = (
-                open_.join(other, "key")
-                .where((F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")))
-                .groupBy(F.col("node").alias("a"), F.col("_node").alias("b"))
-                .agg(F.min("band").alias("band"))
-            )
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = table(pairs, "pairs")
-        if pairs.isEmpty():
-            if step < rounds:
-                step = rounds - 1  # go on with all that is left
-            continue
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        linked = linked.union(table(verified(near(pairs, known, num, den), texts, width, num, den), "links"))
-        label = table(components(linked), "labels")
-    return table(components(linked), "labels") if label is None else label
+
+    # each set with the representative of the bucket that it shares most words with
+    head = buckets.groupBy("key").agg(F.min("node").alias("_h"))
+    pairs = buckets.join(head, "key").where("node <> _h").groupBy("node", "_h").agg(F.count("*").alias("_c"), F.min("band").alias("band"))
+    pairs = pairs.groupBy("node").agg(F.max_by(F.struct("_h", "band"), F.struct("_c", -F.col("_h"))).alias("_p"))
+    pairs = table(pairs.select(F.col("_p._h").alias("a"), F.col("node").alias("b"), "_p.band").distinct(), "pairs")
+    linked = table(linked.union(verified(near(pairs, known, num, den), texts, width, num, den)), "links")
+    label = table(components(linked), "labels")
+
+    # what is left in buckets of several components: all pairs of small ones, in large ones by differences from a centre
+    named = buckets.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = named.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_size")).where("_lo < _hi")
+    open_ = table(named.join(apart, "key").select("key", "band", "node", "root", (F.col("_size") > SMALL).alias("large")), "open")
+    small, large = open_.where("not large"), open_.where("large")
+    other = small.select("key", F.col("node").alias("_node"), F.col("root").alias("_root"))
+    pairs = small.join(other, "key").where((F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")))
+    pairs = table(pairs.groupBy(F.col("node").alias("a"), F.col("_node").alias("b")).agg(F.min("band").alias("band")), "pairs")
+    linked = linked.union(table(verified(near(pairs, known, num, den), texts, width, num, den), "links"))
+    if not large.isEmpty():
+        told = table(differences(centres(large), texts, width, bands), "differences")
+        linked = linked.union(told.where("linked and node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+        linked = linked.union(table(verified(table(kindred(told, num, den), "pairs"), texts, width, num, den), "links"))
+    return table(components(linked), "labels")
 
 
 def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
