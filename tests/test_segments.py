@@ -86,3 +86,12 @@ def test_stored_paragraphs_are_replaced(spark, tmp_path):
     store("one", [("a", "x\n\ny"), ("b", "z")])
     store("two", [("a", "new"), ("c", "")])
     assert sorted((r.paper_id, r.text) for r in tables.read("chunks").collect()) == [("a", "new"), ("b", "z")]
+
+
+def test_line_formats_move_no_lines(spark):
+    docs = spark.createDataFrame([(1, "# A\n\nx\n## B\ny\nTz"), (2, "\\section{A}\nTb\nHc\n\nBd"), (3, None)], "doc_id bigint, text string")
+    for form in ("markdown", "latex"):
+        for found in (sg.paragraphs(docs, form), sg.outlines(docs, form)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Window" not in plan
+    assert [r[2:] for r in sorted(sg.paragraphs(docs, "latex").collect()) if r[0] == 2] == [("A", "Tb Hc"), ("A", "Bd")]

@@ -1,11 +1,8 @@
 """Paragraphs with their sections, from markdown, LaTeX and XML sources.
 
-The line formats are scans that carry a small state from line to line: whether the last line was text,
-the last heading, how many paragraphs there were. Each part of the state is a running maximum or
-total over the lines, which adds up over ranges of lines, so a very long document is dealt out to
-several tasks. A paragraph starts at a text line that doesn't follow one; its number is the number of
-such starts up to it. The scans carry kinds and headings of lines, not their text; where each paragraph's
-lines are comes back to the document, whose text is dealt out once.
+The line formats are taken in one pass over a document, without moving it: each line gets a letter for its kind, and
+the coded lines are cut before headings, then at what ends a paragraph. What a heading or a paragraph is follows from
+the letters alone.
 
 Defined cases: null text is empty and has no paragraphs; white space around lines is dropped; documents are
 named by a unique id.
@@ -21,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators.skew import RANGE_WIDTH, running_maxima, running_total
+from vellum.operators.skew import RANGE_WIDTH
 from vellum.sources.tableset import TableSet
 
 #: Fixed values of the formats.
@@ -39,68 +36,68 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    lines = docs.select(F.col(key).alias("id"), F.posexplode(F.split(tx.text_or_empty(text), "\n")).alias("pos", "line"))
-    return lines.select("id", F.col("pos").cast("bigint").alias("pos"), _strip(F.col("line")).alias("line"))
+def _markdown(line: Column) -> Column:
+    """A stripped line by its code: A first-level heading, G other heading, B blank, T text."""
+    level, heading = F.length(F.regexp_extract(line, MARKDOWN_HEADER, 1)), _strip(F.regexp_extract(line, MARKDOWN_HEADER, 2))
+    head = F.concat(F.when(level == 1, F.lit("\nA")).otherwise(F.lit("\nG")), heading)
+    return F.when(level > 0, head).when(line == "", F.lit("\nB")).otherwise(F.concat(F.lit("\nT"), line))
 
 
-def _markdown(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Lines with ``kind`` (title, head, blank, text) and ``heading``. A first H1 before any text is the title."""
-    lines = _lines(docs, key, text)
-    level, heading = F.length(F.regexp_extract("line", MARKDOWN_HEADER, 1)), _strip(F.regexp_extract("line", MARKDOWN_HEADER, 2))
-    lines = lines.withColumn("kind", F.when(level > 0, F.lit("head")).when(F.col("line") == "", "blank").otherwise("text"))
-    lines = lines.select("id", "pos", "kind", F.when(level > 0, heading).alias("heading"), (level == 1).alias("_top"))
-    seen = {"_after_text": F.when(F.col("kind") == "text", 1), "_after_top": F.when(F.col("_top"), 1)}
-    lines = running_maxima(lines, ["id"], "pos", seen, width)
-    title = F.col("_top") & F.col("_after_text").isNull() & F.col("_after_top").isNull()
-    return lines.withColumn("kind", F.when(title, "title").otherwise(F.col("kind"))).select("id", "pos", "kind", "heading")
-
-
-def _latex(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """As markdown; environments, labels and comments are left out and end no paragraph."""
-    lines = _lines(docs, key, text)
-    line = F.col("line")
+def _latex(line: Column) -> Column:
+    """As markdown, with G sections and L titles; environments, labels and comments are left out and end no paragraph."""
     dropped = F.lit(False)
     for start in LATEX_DROPPED:
         dropped = dropped | line.startswith(start)
-    head, title = line.rlike(LATEX_SECTION), line.startswith("\\title")
-    kind = F.when(head, F.lit("head")).when(title, "title").when(dropped, "dropped").when(line == "", "blank").otherwise("text")
-    heading = F.when(head, _strip(F.regexp_extract("line", LATEX_SECTION, 1))).when(title & line.rlike(LATEX_TITLE), _strip(F.regexp_extract("line", LATEX_TITLE, 1)))
-    return lines.withColumns({"kind": kind, "heading": heading}).where("kind <> 'dropped'")
+    titled = F.when(line.rlike(LATEX_TITLE), F.concat(F.lit("\nL"), _strip(F.regexp_extract(line, LATEX_TITLE, 1)))).otherwise("")
+    head = F.when(line.rlike(LATEX_SECTION), F.concat(F.lit("\nG"), _strip(F.regexp_extract(line, LATEX_SECTION, 1))))
+    return head.when(line.startswith("\\title"), titled).when(dropped, "").when(line == "", F.lit("\nB")).otherwise(F.concat(F.lit("\nT"), line))
 
 
 FORMATS = {"markdown": _markdown, "latex": _latex}
 
 
+def _first_line(c: Column) -> Column:
+    return F.substring_index(c, "\n", 1)
+
+
+def _sectioned(docs: DataFrame, form: str, key: str, text: str) -> DataFrame:
+    """``key, title, parts``: a document's coded lines, each after a line feed, cut before its headings.
+
+    The first part has no heading, the others begin with theirs. A first H1 before any text is the title of markdown, the
+    last title that of LaTeX. No line has a line feed in it, so that one and a code letter stand for nothing else.
+    """
+    lines = F.transform(F.split(tx.text_or_empty(text), "\n"), _strip)
+    coded = docs.select(key, F.array_join(F.transform(lines, FORMATS[form]), "").alias("_all"))
+    if form == "markdown":
+        coded = coded.withColumns({"_top": F.instr("_all", "\nA"), "_text": F.instr("_all", "\nT")})
+        is_title = (F.col("_top") > 0) & ((F.col("_text") == 0) | (F.col("_top") < F.col("_text")))
+        title = F.when(is_title, _first_line(F.col("_all").substr(F.col("_top") + 2, F.length("_all"))))
+        rest = F.when(is_title, F.overlay("_all", F.lit("B"), F.col("_top") + 1)).otherwise(F.col("_all"))  # ends a paragraph
+    else:
+        titles = F.split("_all", "\nL")
+        title = F.when(F.size(titles) > 1, _first_line(F.element_at(titles, -1)))
+        rest = F.regexp_replace("_all", "\nL[^\n]*", "")  # ends no paragraph
+    return coded.select(key, title.alias("title"), F.split(rest, "\n[AG]").alias("parts"))
+
+
 def paragraphs(docs: DataFrame, form: str, key: str = "doc_id", text: str = "text", width: int = RANGE_WIDTH) -> DataFrame:
-    """``key, paragraph_index, section, text`` of every paragraph; a task holds at most ``width`` lines of a document."""
-    lines = FORMATS[form](docs, key, text, width).where("kind <> 'title' or heading is not null")
-    if form == "latex":
-        lines = lines.where("kind <> 'title'")  # ends no paragraph
-    state = {"_last": F.struct("pos", (F.col("kind") == "text").alias("is_text")), "_head": F.when(F.col("kind") == "head", F.struct("pos", "heading"))}
-    lines = running_maxima(lines.select("id", "pos", "kind", "heading"), ["id"], "pos", state, width).where("kind = 'text'")
-    first = F.when(F.coalesce(F.col("_last.is_text"), F.lit(False)), 0).otherwise(1)
-    lines = running_total(lines.withColumn("_first", first.cast("bigint")), ["id"], "pos", "_first", "paragraph_index", width)
-    section = F.coalesce(F.min("_head.heading"), F.lit(PREAMBLE)).alias("section")
-    places = lines.groupBy("id", "paragraph_index").agg(section, F.array_sort(F.collect_list("pos")).alias("at"))
-    places = places.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "section", "at"))).alias("_p"))  # of one document
-    whole = docs.select(F.col(key).alias("id"), F.split(tx.text_or_empty(text), "\n").alias("_lines")).join(places, "id")
-    body = lambda p: F.array_join(F.transform(p["at"], lambda i: _strip(F.get("_lines", i.cast("int")))), " ")
-    put = F.transform("_p", lambda p: F.struct(p["paragraph_index"].alias("paragraph_index"), p["section"].alias("section"), body(p).alias("text")))
-    return whole.select(F.col("id").alias(key), F.inline(put))
+    """``key, paragraph_index, section, text`` of every paragraph; ``width`` is taken from earlier callers and changes nothing."""
+
+    def of(part: Column, i: Column) -> Column:
+        section = F.when(i == 0, F.lit(PREAMBLE)).otherwise(_first_line(part))
+        lines = F.when(i == 0, part).otherwise(part.substr(F.length(_first_line(part)) + 1, F.length(part)))
+        runs = F.filter(F.split(lines, "\nB[^\n]*"), lambda run: run != "")
+        body = lambda run: F.replace(run.substr(F.lit(3), F.length(run)), F.lit("\nT"), F.lit(" "))
+        return F.transform(runs, lambda run: F.struct(section.alias("section"), body(run).alias("text")))
+
+    found = _sectioned(docs, form, key, text).select(key, F.posexplode(F.flatten(F.transform("parts", of))).alias("_at", "_p"))
+    return found.select(key, (F.col("_at") + 1).cast("bigint").alias("paragraph_index"), "_p.section", "_p.text")
 
 
 def outlines(docs: DataFrame, form: str, key: str = "doc_id", text: str = "text", width: int = RANGE_WIDTH) -> DataFrame:
     """``key, title, sections`` of every document: sections once each, in the order of their first headings."""
-    lines = FORMATS[form](docs, key, text, width).where("heading is not null")
-    order = F.min("pos") if form == "markdown" else F.max("pos")  # of several LaTeX titles the last counts
-    heads = lines.where("kind = 'head'").groupBy("id", "heading").agg(F.min("pos").alias("pos"))
-    heads = heads.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "heading"))), lambda x: x["heading"]).alias("sections"))
-    titles = lines.where("kind = 'title'").withColumn("_at", F.col("pos")).groupBy("id").agg(
-        (F.min_by("heading", "_at") if form == "markdown" else F.max_by("heading", "_at")).alias("title"), order.alias("_pos")
-    )
-    named = docs.select(F.col(key).alias("id")).join(titles, "id", "left").join(heads, "id", "left")
-    return named.select(F.col("id").alias(key), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("sections", F.array().cast("array<string>")).alias("sections"))
+    heads = F.transform(F.slice("parts", 2, F.size("parts")), _first_line)
+    return _sectioned(docs, form, key, text).select(key, F.coalesce("title", F.lit("")).alias("title"), F.array_distinct(heads).alias("sections"))
 
 
 def xml_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
